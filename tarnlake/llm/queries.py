@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_trie
+from . import packing, simhash_trie
 from .common import table
 
 QUERIES: dict = {}
@@ -22,3 +23,13 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The public vocabulary that packing uses.
+VOCABULARY = "word_bpe_49k.json"
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and packed into sequences of at most 4096 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 4096, 1)
