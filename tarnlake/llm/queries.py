@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash_trie
+from . import packing, simhash_trie, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -33,3 +33,24 @@ VOCABULARY = "word_bpe_49k.json"
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and packed into sequences of at most 4096 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 4096, 1)
+
+
+@query
+def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best integer inner products of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+ORACLES["op8_pivot_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
