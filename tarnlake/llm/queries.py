@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash_trie, topk
+from . import packing, simhash_trie, topk, url_filter
 from .common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,13 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+#: The four rules of the contract.
+URL_RULES = [url_filter.Rule("block", "net/"), url_filter.Rule("allow", "example.net/en/"), url_filter.Rule("block", "example.com/de/"), url_filter.Rule("allow", "org/fr/")]
+
+
+@query
+def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or learned verdict of every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
