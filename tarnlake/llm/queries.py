@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash_trie, topk, url_filter
-from .common import table
+from . import langid, packing, quality, simhash_trie, topk, url_filter
+from .common import held_out, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,20 @@ URL_RULES = [url_filter.Rule("block", "net/"), url_filter.Rule("allow", "example
 def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or learned verdict of every page's url."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op5_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from the rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    found = langid.identify(docs, langid.train(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op9_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels not held out."""
+    out = held_out(F.col("doc_id"), 5, 0)
+    found = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

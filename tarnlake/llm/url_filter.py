@@ -224,12 +224,12 @@ def judge(
     label = F.coalesce("ruled", seed_of(F.col("host"), block_words, allow_words), F.lit("allow"))
     known = rows.select("url", "host", "path", label.alias("label")).where("url is not null")
     sample = known.orderBy(F.xxhash64("url"), "url").limit(train_rows).toPandas()
-    model = spark.sparkContext.broadcast(train(sample))
+    model = train(sample)
 
     @F.pandas_udf("double")
     def block(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for u, h, p in parts:
-            yield pd.Series(model.value.score(u.to_list(), h.to_list(), p.to_list()))
+            yield pd.Series(model.score(u.to_list(), h.to_list(), p.to_list()))
 
     scored = rows.withColumn("score", block("url", "host", "path"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")
