@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, simhash_trie, topk, url_filter
+from . import langid, packing, quality, simhash_trie, topk, toxicity, url_filter
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -81,3 +81,11 @@ def op9_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 5, 0)
     found = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op6_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels not held out."""
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~out))
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
