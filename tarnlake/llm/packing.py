@@ -14,6 +14,7 @@ are packed again each; an empty table packs into nothing; a null id is kept.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,55 +34,132 @@ class Ids:
 
     The vocabulary's splitter never crosses white space, so a text's ids are
     those of its white-space chunks in turn; chunks recur, and each distinct one
-    is encoded once.  The memory of chunks is bounded and starts anew when full.
+    is encoded once.  A chunk of letters and closing marks is put together from
+    both; letters are encoded many words at a time and cut after the ids that end
+    a word.  The memory of chunks is bounded and starts anew when full.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 400_000):
+    def __init__(self, tokenizer_file: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(tokenizer_file).encode_batch_fast
+        made = Tokenizer.from_file(tokenizer_file)
+        self.encode = made.encode_batch_fast
+        vocabulary = made.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Slots()
         self.flat = np.zeros(1 << 20, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        got = [e.ids for e in self.encode(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        at, n = len(self.known), int(sizes.sum())
+    def _put(self, chunks: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        slot = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        n = len(ids)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + len(got) > len(self.first):
+        while len(self.known) > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        self.flat[self.used : self.used + n] = np.fromiter((i for g in got for i in g), np.uint32, n)
-        self.first[at : at + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.size[at : at + len(got)] = sizes
+        self.flat[self.used : self.used + n] = ids
+        self.first[slot] = self.used + np.cumsum(sizes) - sizes
+        self.size[slot] = sizes
         self.used += n
-        self.known.update((c, at + k) for k, c in enumerate(chunks))
-
-    def __call__(self, text: str) -> np.ndarray:
-        chunks = text.translate(_BLANKS).split(" ")  # ASCII blanks only: every one is white space to the splitter too
-        known = self.known
-        fresh = [c for c in dict.fromkeys(chunks) if c not in known]
-        if fresh:
-            if len(known) + len(fresh) > self.most and known:
-                self.clear()
-                known, fresh = self.known, list(dict.fromkeys(chunks))
-            self._learn(fresh)
-        slot = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+
+    def _learn_each(self, chunks: list[str]) -> None:
+        got = [e.ids for e in self.encode(chunks, add_special_tokens=False)]
+        self._put(chunks, np.fromiter(map(len, got), np.int64, len(got)), np.array([i for g in got for i in g], np.uint32))
+
+    def _learn_words(self, words: list[str], run: int = 1000) -> None:
+        """Chunks of letters alone: one word each, unless lower case makes marks of a letter."""
+        runs = [words[at : at + run] for at in range(0, len(words), run)]
+        for own, e in zip(runs, self.encode([" ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(own):
+                self._put(own, np.diff(ends, prepend=0), ids)
+            else:
+                self._learn_each(own)
+
+    def _learn(self) -> None:
+        """Fill the slots of chunks that were new."""
+        fresh = self.known.fresh
+        words, other, joined = [], [], []
+        for c in fresh:  # grows while it is read: parts of a chunk may be new themselves
+            if c.isalpha() and (c.isascii() or c.lower().isalpha()):
+                words.append(c)
+                continue
+            base = c.rstrip(_MARKS)
+            if base and base != c and base.isalpha() and (base.isascii() or base.lower().isalpha()):
+                joined.append((c, self.known[base], self.known[c[len(base) :]]))
+            else:
+                other.append(c)
+        self.known.fresh = []
+        if words:
+            self._learn_words(words)
+        if other:
+            self._learn_each(other)
+        if joined:
+            both = np.array([j[1:] for j in joined], np.int64)
+            self._put([j[0] for j in joined], self.size[both].sum(1), self._gather(both.ravel()))
+
+    def _gather(self, slot: np.ndarray) -> np.ndarray:
         size = self.size[slot]
         ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(self.first[slot] - (ends - size), size)
-        return self.flat[at]
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.first[slot] - (ends - size), size)]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.known) > self.most:
+            self.clear()
+        slots = []
+        for t in texts:
+            chunks = _chunks(t)
+            slots.append(np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks)))
+        if self.known.fresh:
+            self._learn()
+        return [self._gather(s) if len(s) else np.zeros(0, np.uint32) for s in slots]
+
+    @classmethod
+    def of_worker(cls, tokenizer_file: str) -> Ids:
+        """The one of this worker process, whose memory later tasks find filled."""
+        import tokenizers
 
+        kept = vars(tokenizers).setdefault("_ids_of_worker", {})
+        if tokenizer_file not in kept:
+            kept[tokenizer_file] = cls(tokenizer_file)
+        return kept[tokenizer_file]
 
+
+class _Slots(dict):
+    """Chunk to slot; a new chunk gets the next slot and waits in ``fresh`` to be learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return n
+
+
+#: Marks that follow letters; none joins with a letter, and an apostrophe is not among them.
+_MARKS = ".,;:!?*#$%&)]"
 _BLANKS = str.maketrans("\t\n\r", "   ")
+_NO_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the splitter
+
+
+def _chunks(text: str) -> list[str]:
+    if _NO_SPACE.search(text):
+        return [c for c in text.translate(_BLANKS).split(" ") if c]
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    return text.split()
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -89,13 +167,13 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, id_
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(tokenizer_file)
+        ids = Ids.of_worker(tokenizer_file)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows, out = [], []
-            for k, t in enumerate(b.column(1)):
-                x = np.append(ids(t.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for k, x in enumerate(ids.many([t or "" for t in b.column(1).to_pylist()])):
+                x = np.append(x, np.uint32(end_id)).astype("<u4")
                 for p, at in enumerate(range(0, len(x), capacity)):
                     cut = x[at : at + capacity]
                     rows.append(k)
@@ -189,7 +267,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    ranked = made.join(counts.select("length", "part", "base"), ["length", "part"]).select(
+    ranked = made.join(counts.select("length", "part", "base").hint("merge"), ["length", "part"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank")
     )
     return ranked.mapInArrow(take, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
