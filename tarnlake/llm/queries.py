@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, simhash_trie, topk, toxicity, url_filter
+from . import langid, packing, pii, quality, simhash_trie, topk, toxicity, url_filter
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -89,3 +89,15 @@ def op6_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
     found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~out))
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Key of the registered query; a run of one's own passes its own secret.
+PII_KEY = b"tarnlake public example key"
+
+
+@query
+def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced by keyed pseudonyms."""
+    out = pii.rewrite(table(spark, sf_dir, "documents"), PII_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",")
+    return out.select("doc_id", "text", F.size("pii").alias("n_found"), kinds.alias("kinds"))
