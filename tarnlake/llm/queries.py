@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, quality, simhash_trie, topk, toxicity, url_filter
+from . import langid, packing, pii, quality, simhash_trie, suffixes, topk, toxicity, url_filter
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -101,3 +101,9 @@ def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.rewrite(table(spark, sf_dir, "documents"), PII_KEY)
     kinds = F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",")
     return out.select("doc_id", "text", F.size("pii").alias("n_found"), kinds.alias("kinds"))
+
+
+@query
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to repeated strings of 200 bytes."""
+    return suffixes.repeated(table(spark, sf_dir, "documents")).drop("spans")
