@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, quality, simhash_trie, suffixes, topk, toxicity, url_filter
+from . import decontaminate, langid, packing, pii, quality, simhash_trie, suffixes, topk, toxicity, url_filter
 from .common import held_out, table
 
 QUERIES: dict = {}
@@ -107,3 +107,9 @@ def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to repeated strings of 200 bytes."""
     return suffixes.repeated(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with that item."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
