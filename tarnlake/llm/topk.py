@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded_sample
 
 ANNULUS = 256
 #: Greatest |component| after scaling for which products stay exact in double precision at any usual length.
@@ -46,7 +46,7 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Data
 
 def choose_pivots(x: DataFrame, pivots: int, sample: int) -> np.ndarray:
     """Pivots from a bounded, documented sample: the ``sample`` rows of least hash; k-means++ like spread, then two refinements."""
-    rows = x.orderBy(F.xxhash64("id"), "id").limit(sample).select("x").collect()
+    rows = bounded_sample(x, sample, "id").select("x").collect()
     s = np.array([r.x for r in rows])
     take = [0]
     near = ((s - s[0]) ** 2).sum(1)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_sample, small_batches
 
 PLACES = 1 << 20
 _WORD = re.compile(r"\w+")
@@ -117,11 +117,11 @@ def dense(rows: list[np.ndarray], width: int) -> np.ndarray:
     return x
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", train_rows: int = 20_000, least: int = 8, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", train_rows: int = 12_000, least: int = 8, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Fit on at most ``train_rows`` labelled rows for which ``learn`` (a condition on doc_id) holds, by hash of the id."""
     small_batches(docs.sparkSession)
     y = labels.select(F.col("doc_id").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(learn & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
-    y = y.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    y = bounded_sample(y.groupBy("doc_id").agg(F.max("y").alias("y")), train_rows, "doc_id")
     few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(y), "doc_id").select("doc_id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

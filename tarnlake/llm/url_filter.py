@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_sample, small_batches
 
 
 @dataclass(frozen=True)
@@ -222,8 +222,8 @@ def judge(
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
     label = F.coalesce("ruled", seed_of(F.col("host"), block_words, allow_words), F.lit("allow"))
-    known = rows.select("url", "host", "path", label.alias("label")).where("url is not null")
-    sample = known.orderBy(F.xxhash64("url"), "url").limit(train_rows).toPandas()
+    known = rows.select("page_id", "url", "host", "path", label.alias("label")).where("url is not null")
+    sample = bounded_sample(known, train_rows, "url", "page_id").toPandas()
     model = train(sample)
 
     @F.pandas_udf("double")
