@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_sample, small_batches
 
 BUCKETS = 8192
 UND = "und"
@@ -119,7 +119,7 @@ def train(docs: DataFrame, learn: Column, train_rows: int = 20_000, id_col: str
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(train_rows).distinct()
+    ids = bounded_sample(rows.select(F.col(id_col).alias("id")), train_rows, "id").distinct()
     few = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,8 @@ def train(docs: DataFrame, learn: Column, train_rows: int = 20_000, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([sums[k].astype("<i8").tobytes() for k in names], pa.binary())], ["lang", "counts"])
 
     total: dict[str, np.ndarray] = {}
-    for r in few.select("text", "lang").mapInArrow(run, "lang string, counts binary").toLocalIterator():
+    # Few tasks, so that few sums come back.
+    for r in few.select("text", "lang").repartition(16).mapInArrow(run, "lang string, counts binary").collect():
         x = np.frombuffer(r.counts, "<i8")
         total[r.lang] = total[r.lang] + x if r.lang in total else x
     if not total:
@@ -143,7 +144,8 @@ def train(docs: DataFrame, learn: Column, train_rows: int = 20_000, id_col: str
     langs = sorted(total)
     model = Model(langs, np.stack([total[k] for k in langs]))
     # Reliability of the bits, from a smaller bounded part of the same rows.
-    part = few.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(min(train_rows, 1000)).select("text", "lang")
+    few_ids = bounded_sample(ids, 1000, "id")
+    part = few.join(F.broadcast(few_ids), "id", "left_semi").select("text", "lang")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,24 +164,42 @@ def train(docs: DataFrame, learn: Column, train_rows: int = 20_000, id_col: str
     return model
 
 
+def _judged(model: Model | None, texts: pa.Array, ambiguous: float) -> list[pa.Array]:
+    """lang_pred, score, ambiguous of a batch of texts."""
+    n = len(texts)
+    lang, score, unsure = [UND] * n, np.zeros(n), np.ones(n, bool)
+    for at in range(0, n, 256):
+        got = [(k, x) for k, t in enumerate(texts[at : at + 256], at) if model is not None and (x := profile(t.as_py())) is not None]
+        if got:
+            rows = np.array([g[0] for g in got])
+            best, p, gap = model.decode(np.stack([g[1] for g in got]))
+            score[rows], unsure[rows] = p, gap < ambiguous
+            for r, k in zip(rows.tolist(), best.tolist()):
+                lang[r] = model.langs[k]
+    return [pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(unsure)]
+
+
 def identify(docs: DataFrame, model: Model | None, ambiguous: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every whole text."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model
         for b in batches:
-            lang, score, unsure = [UND] * b.num_rows, np.zeros(b.num_rows), np.ones(b.num_rows, bool)
-            for at in range(0, b.num_rows, 256):
-                got = [(k, x) for k, t in enumerate(b.column(1)[at : at + 256], at) if m is not None and (x := profile(t.as_py())) is not None]
-                if got:
-                    rows = np.array([g[0] for g in got])
-                    best, p, gap = m.decode(np.stack([g[1] for g in got]))
-                    score[rows], unsure[rows] = p, gap < ambiguous
-                    for r, k in zip(rows.tolist(), best.tolist()):
-                        lang[r] = m.langs[k]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(np.clip(score, 0, 1)), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_judged(model, b.column(1), ambiguous)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+
+
+def known_language(docs: DataFrame, model: Model | None, ambiguous: float = 0.2, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is found and not ambiguous; rows are judged where they are, without a join."""
+    small_batches(docs.sparkSession)
+    at = docs.schema.fieldNames().index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, _, unsure = _judged(model, b.column(at), ambiguous)
+            keep = [x != UND and not u for x, u in zip(lang.to_pylist(), unsure.to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
