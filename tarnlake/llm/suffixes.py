@@ -4,7 +4,7 @@ The suffixes of all texts are compared on their first ``length`` (200) bytes.
 They are never all in one place: positions modulo v in a difference cover are
 the sample, and for any two suffixes i and j some shift below v brings both into
 the sample, so a repeat of 200 bytes shows as a repeat of 200 - v + 1 bytes at
-sampled positions.  Four rounds of bucket sorts follow, each of which sorts one
+sampled positions.  Three rounds of bucket sorts follow, each of which sorts one
 bounded bucket of suffix keys at a time and answers with one bit per key:
 
 1. sampled suffixes by their first 200 - v + 1 bytes: only suffixes near a
@@ -12,11 +12,10 @@ bounded bucket of suffix keys at a time and answers with one bit per key:
 2. those samples by their first 200 + v - 1 bytes: a repeated one settles every
    suffix of the next v places (long ties are resolved by these cover ranks
    instead of by comparing bytes), and one holder of each stays as candidate;
-3. candidate suffixes by a short key of their 200 bytes, a filter;
-4. those left by a long key of their 200 bytes, which decides.
+3. candidate suffixes by their 200 bytes, which decides.
 
 Keys are fingerprints: order among suffixes does not matter here, only equality.
-Long keys have 64 bits and lie in buckets by another hash, so equal keys are
+Keys of the last two rounds have 64 bits and lie in buckets by another hash, so equal keys are
 equal strings but for a chance of about n^2 / (buckets * 2^65).  A key goes once
 per chunk of text to its bucket, with a mark if it recurs there, so a string with
 a third of all places is no burden to its bucket.
@@ -129,7 +128,8 @@ class Keys:
     """The distinct keys of one round in a chunk, in order of bucket and key, and where each stands."""
 
     def __init__(self, bucket: np.ndarray, key: np.ndarray):
-        order = np.lexsort((key, bucket))
+        order = np.argsort(key)
+        order = order[np.argsort(bucket[order], kind="stable")]  # a radix sort where buckets fit 16 bits
         b, k = bucket[order], key[order]
         new = np.ones(len(order), bool)
         new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
@@ -138,7 +138,7 @@ class Keys:
         starts = np.flatnonzero(new)
         self.bucket, self.key = b[new], k[new]
         self.many = np.diff(np.append(starts, len(order))) > 1  # recurs within the chunk
-        self.first = order[starts]  # stable sort: the first place of each key
+        self.first = order[starts]  # one place of each key
 
     def blobs(self) -> Iterator[tuple[int, bytes, bytes]]:
         cuts = np.flatnonzero(np.diff(self.bucket)) + 1
@@ -148,8 +148,9 @@ class Keys:
     def answered(self, answers) -> tuple[np.ndarray, np.ndarray]:
         """Per key: repeated anywhere, and held first here."""
         again, first = np.zeros(len(self.bucket), bool), np.zeros(len(self.bucket), bool)
+        own = self.bucket.astype(np.int64)
         for a in answers or ():
-            lo, hi = np.searchsorted(self.bucket, [a["bucket"], a["bucket"] + 1])
+            lo, hi = np.searchsorted(own, [a["bucket"], a["bucket"] + 1])
             again[lo:hi] = np.unpackbits(np.frombuffer(a["again"], np.uint8))[: hi - lo]
             first[lo:hi] = np.unpackbits(np.frombuffer(a["first"], np.uint8))[: hi - lo]
         return again, first
@@ -157,9 +158,7 @@ class Keys:
 
 def _covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     """Places in [s, s + width) of any start; starts may begin before 0."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, np.clip(starts, 0, n), 1)
-    np.add.at(d, np.clip(starts + width, 0, n), -1)
+    d = np.bincount(np.clip(starts, 0, n), minlength=n + 1) - np.bincount(np.clip(starts + width, 0, n), minlength=n + 1)
     return np.cumsum(d[:n]) > 0
 
 
@@ -172,7 +171,8 @@ class Rounds:
         self.powers = Powers()
 
     def _bucket(self, h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int32)
+        b = (h >> np.uint64(32)) % np.uint64(self.buckets)
+        return b.astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
 
     def samples(self, t: Text) -> tuple[np.ndarray, Keys]:
         n, short = len(t.data), self.length - self.v + 1
@@ -188,7 +188,7 @@ class Rounds:
         return at, Keys(self._bucket(t.key(at, long, 1)), t.key(at, long))
 
     def ask(self, t: Text, answers: list) -> tuple[Keys | None, np.ndarray]:
-        """Keys of round len(answers) + 1, or None after the fourth; and the places of repeated suffixes settled so far."""
+        """Keys of round len(answers) + 1, or None after the third; and the places of repeated suffixes settled so far."""
         n = len(t.data)
         s, keys = self.samples(t)
         if not answers:
@@ -205,16 +205,11 @@ class Rounds:
         near = _covered(n, s - self.v + 1, self.v)
         w = np.flatnonzero(near & (kept | ~sure))
         w = w[w + self.length <= t.end_of(w)] if len(w) else w
-        h = t.key(w, self.length)
-        quick = Keys(self._bucket(h), h.astype(np.uint32))
+        exact = Keys(self._bucket(t.key(w, self.length, 1)), t.key(w, self.length))
         settled = np.flatnonzero(sure)
         if len(answers) == 2:
-            return quick, settled
-        w = w[quick.answered(answers[2])[0][quick.place]]
-        exact = Keys(self._bucket(t.key(w, self.length, 1)), t.key(w, self.length))
-        if len(answers) == 3:
             return exact, settled
-        w = w[exact.answered(answers[3])[0][exact.place]]
+        w = w[exact.answered(answers[2])[0][exact.place]]
         return None, np.union1d(settled, w)
 
 
@@ -330,7 +325,7 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
 
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # chunks, not documents
-    for r, width in enumerate((4, 8, 4, 8)):
+    for r, width in enumerate((4, 8, 8)):
         asked = joined().mapInArrow(ask, "part int, seq int, bucket int, keys binary, many binary")
         told = asked.groupBy("bucket").applyInPandas(_answer(width), "part int, seq int, bucket int, again binary, first binary")
         by_chunk = told.groupBy("part", "seq").agg(F.collect_list(F.struct("bucket", "again", "first")).alias("answers"))
@@ -361,5 +356,5 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
     out = tmp.write(joined().mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>"), "spans")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    tmp.drop("chunks", *[f"answers-{r}" for r in range(4)])
+    tmp.drop("chunks", *[f"answers-{r}" for r in range(3)])
     return out
