@@ -122,7 +122,7 @@ def word_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, words binary")
 
 
-def _slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about ``most`` bytes: first row, last row + 1, word hashes, words up to each text's end."""
     sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in column], np.int64)
     for lo, hi in _runs(sizes, most):
@@ -140,7 +140,7 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _kept(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _kept(column: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of kept word ids, about ``most`` bytes each: first row, ids, words up to each text's end."""
     raw = [w.as_buffer() for w in column]
     sizes = np.array([len(r) for r in raw], np.int64)
@@ -301,6 +301,18 @@ def answer_of(words: np.ndarray) -> np.ndarray:
     return words[-max(3, len(words) // 5) :]
 
 
+def _window_sums(sums: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Sums over n blocks from every block on, from those over fewer that ``sums`` holds; it keeps the new ones."""
+    if n not in sums:
+        a = 1 << (n.bit_length() - 1)
+        a = a // 2 if a == n else a
+        x = _window_sums(sums, a).copy()
+        if a < len(x):
+            x[:-a] += _window_sums(sums, n - a)[a:]
+        sums[n] = x
+    return sums[n]
+
+
 class Retrieval:
     """Windows of texts against items in the latent space, then the exact checks."""
 
@@ -309,6 +321,7 @@ class Retrieval:
         self.project[:TERMS] = vectors * idf[:, None]
         self.cosine, self.full, self.part, self.answer = cosine, full, part, answer
         self.items = [Item(i, w, lcs_masks(w), answer_of(w)) for i, w in items]
+        self.mine = np.zeros(1 << 16, bool)  # marks the words of the item at hand
         groups: dict[int, list[int]] = {}
         for k, it in enumerate(self.items):
             groups.setdefault(next((w for w in WINDOWS if w >= len(it.words)), WINDOWS[-1]), []).append(k)
@@ -320,19 +333,8 @@ class Retrieval:
     def _windows(self, z: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Sums of z over windows of each wanted number of blocks, from every block on; beyond the end nothing is added."""
         sums = {1: z}
-
-        def of(n: int) -> np.ndarray:
-            if n not in sums:
-                a = 1 << (n.bit_length() - 1)
-                a = a // 2 if a == n else a
-                x = of(a).copy()
-                if a < len(x):
-                    x[:-a] += of(n - a)[a:]
-                sums[n] = x
-            return sums[n]
-
         for w in self.by_window:
-            yield w, of(w // STEP)
+            yield w, _window_sums(sums, w // STEP)
 
     def search(self, ids: np.ndarray, upto: np.ndarray) -> Iterator[tuple[int, int, float, float, bool]]:
         """(text, item, cosine, share of the item in the common subsequence, answer found) of every match."""
@@ -357,17 +359,25 @@ class Retrieval:
             v = v[own]
             c = v @ items.T
             c /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
-            row, col = np.nonzero(c >= self.cosine)
-            for r, k in zip(row.tolist(), col.tolist()):
-                d, a = int(text[own[r]]), int(begin[own[r]])
-                best.setdefault((d, int(ks[k])), []).append((float(c[r, k]), a, min(a + w, int(upto[d]))))
+            col, row = np.nonzero(c.T >= self.cosine)
+            cuts = np.flatnonzero(np.diff(col)) + 1
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(col))) if len(col) else ():
+                k, rows = int(ks[col[lo]]), row[lo:hi]
+                it, a = self.items[k], begin[own[rows]]
+                slack, d = len(it.words) // 2, text[own[rows]]
+                at = a.astype(np.int32)[:, None] + np.arange(-slack, w + slack, dtype=np.int32)
+                inside = (at >= starts[d][:, None]) & (at < upto[d][:, None])
+                self.mine[it.words] = True
+                enough = (self.mine[ids[np.clip(at, 0, len(ids) - 1)]] & inside).sum(1) >= self.part * len(it.words)
+                self.mine[it.words] = False
+                # Where fewer words agree than any common subsequence needs, there is none.
+                for x, y, z in zip(d[enough].tolist(), a[enough].tolist(), c[rows[enough], col[lo]].tolist()):
+                    best.setdefault((x, k), []).append((z, y, min(y + w, int(upto[x]))))
         for (d, k), found in sorted(best.items()):
             it = self.items[k]
             slack = len(it.words) // 2
             for c, a, z in sorted(found, reverse=True):
                 near = ids[max(a - slack, int(starts[d])) : min(z + slack, int(upto[d]))]
-                if sum(x in it.masks for x in near.tolist()) < self.part * len(it.words):
-                    continue  # fewer words than any common subsequence needs
                 share = lcs(it.words, near, it.masks) / len(it.words)
                 if share < self.part:
                     continue
