@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes handed to a Python worker at once; whole texts stay whole, so batches are small.
-BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

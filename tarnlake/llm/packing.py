@@ -39,7 +39,7 @@ class Ids:
     a word.  The memory of chunks is bounded and starts anew when full.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 800_000):
+    def __init__(self, tokenizer_file: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(tokenizer_file)
