@@ -176,14 +176,18 @@ def _bytes_of(v, source: T.DataType) -> bytes:
     return struct.pack("<q", v)
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, with x evaluated once: a tree that names x often would grow with every step."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _times(x: Column, c: int) -> Column:
     """x * c modulo 2^32 for 0 <= x < 2^32, without leaving 64 bits."""
-    high = ((F.shiftright(x, 16) * F.lit(c)).bitwiseAND(0xFFFF)) * F.lit(65536)
-    return (x.bitwiseAND(0xFFFF) * F.lit(c) + high).bitwiseAND(_MASK)
+    return _let(x, lambda v: (v.bitwiseAND(0xFFFF) * F.lit(c) + (F.shiftright(v, 16) * F.lit(c)).bitwiseAND(0xFFFF) * F.lit(65536)).bitwiseAND(_MASK))
 
 
 def _turn(x: Column, n: int) -> Column:
-    return (F.shiftleft(x, n).bitwiseAND(_MASK)).bitwiseOR(F.shiftright(x, 32 - n))
+    return _let(x, lambda v: (F.shiftleft(v, n).bitwiseAND(_MASK)).bitwiseOR(F.shiftright(v, 32 - n)))
 
 
 def _mix(h: Column, k: Column) -> Column:
@@ -192,10 +196,9 @@ def _mix(h: Column, k: Column) -> Column:
 
 
 def _end(h: Column, length: Column) -> Column:
-    h = h.bitwiseXOR(length)
-    h = _times(h.bitwiseXOR(F.shiftright(h, 16)), 0x85EBCA6B)
-    h = _times(h.bitwiseXOR(F.shiftright(h, 13)), 0xC2B2AE35)
-    return h.bitwiseXOR(F.shiftright(h, 16))
+    down = lambda x, n: _let(x, lambda v: v.bitwiseXOR(F.shiftright(v, n)))
+    h = _times(down(h.bitwiseXOR(length), 16), 0x85EBCA6B)
+    return down(_times(down(h, 13), 0xC2B2AE35), 16)
 
 
 def _murmur(c: Column, source: T.DataType) -> Column:

@@ -137,7 +137,7 @@ class LakeTable:
         tags = self.spark.createDataFrame([(f.path, f.sequence_number, _tuple(f)) for f in files], "_path string, _seq long, _tuple string")
         if len(files) <= BROADCAST_FILES:
             tags = F.broadcast(tags)
-        path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///"))
+        path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///"), F.lit("+"), F.lit("%2B")))
         return self._parquet(schema, files).withColumn("_path", path).join(tags, "_path").drop("_path")
 
     def statistics(self, ref: str | None = None) -> DataFrame:
@@ -166,7 +166,11 @@ class LakeTable:
         source = {f.name: f.dataType for f in meta.schema().fields}
         present = all(f.source in df.columns for f in spec)
         if spec and present:
-            parts = [Transform.parse(f.transform).column(F.col(f"`{f.source}`"), source[f.source]).alias(f"{_PART}{i}") for i, f in enumerate(spec)]
+            parts = []
+            for i, f in enumerate(spec):
+                t = Transform.parse(f.transform)
+                value = t.column(F.col(f"`{f.source}`"), source[f.source])
+                parts.append(M.folder_value(value, t.result_type(source[f.source])).alias(f"{_PART}{i}"))
             names = [f"{_PART}{i}" for i in range(len(spec))]
             df = df.select("*", *parts)
             # Dealt by partition, so that each is written in few files; the adaptive planner splits a large one.
@@ -207,8 +211,7 @@ class LakeTable:
         meta = self.metadata
         added = self._write(self._conform(df, meta), meta.schema(), meta, M.DATA)
         gone = self._delete_files(meta, deletes, tuple(on)) if deletes is not None else []
-        if added or gone or summary:
-            self._commit(meta, added, gone, "append" if not gone else "overwrite", summary, retries if not gone else 0)
+        self._commit(meta, added, gone, "append" if not gone else "overwrite", summary, retries if not gone else 0)
         return sum(f.rows for f in added)
 
     def _delete_files(self, meta: TableMetadata, deletes: DataFrame, on: tuple) -> list[M.DataFile]:
@@ -259,15 +262,15 @@ class LakeTable:
     def _manifest(self, meta: TableMetadata, files: list[M.DataFile]) -> dict:
         return M.write_manifest(self.storage, f"{meta.location}/metadata", files)
 
-    def _gather(self, meta: TableMetadata, kept: list[dict], new: list[dict], least: int = 100) -> list[dict]:
+    def _gather(self, meta: TableMetadata, kept: list[dict], new: list[dict], least: int = 100, files: int = 100) -> list[dict]:
         """Rewrite many small manifests of a spec into few, clustered by partition; entries keep their sequence numbers."""
-        small = [m for m in kept if m["files"] < least and not m["deletes"]]
+        small = [m for m in kept if m["files"] < files and not m["deletes"]]
         if len(small) < least:
             return kept + new
-        files = [changed(f, status=M.EXISTING) for m in small for f in M.read_manifest(self.storage, m["path"])]
+        entries = [changed(f, status=M.EXISTING) for m in small for f in M.read_manifest(self.storage, m["path"])]
         merged = []
-        for spec in sorted({f.spec_id for f in files}):
-            own = sorted((f for f in files if f.spec_id == spec), key=lambda f: ([(v is not None, str(type(v)), v) for v in f.partition], f.path))
+        for spec in sorted({f.spec_id for f in entries}):
+            own = sorted((f for f in entries if f.spec_id == spec), key=lambda f: ([(v is not None, str(type(v)), v) for v in f.partition], f.path))
             size = 4 + int(len(own) ** 0.5)  # files to a manifest
             merged += [self._manifest(meta, own[at : at + size]) for at in range(0, len(own), size)]
         return [m for m in kept if m not in small] + merged + new

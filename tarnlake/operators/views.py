@@ -45,11 +45,12 @@ class Source:
     table: LakeTable
     uuid: str
     now: int | None
-    before: int | None = None
+    before: int | None = None  # None with ``seen``: the source had no snapshot yet
+    seen: bool = False
 
     @property
     def fresh(self) -> bool:
-        return self.now == self.before
+        return self.seen and self.now == self.before
 
 
 class Resolver:
@@ -194,8 +195,8 @@ class Refresh:
                 own = t.metadata
                 s = own.snapshot(r.branch)
                 before = state.get(full, {})
-                known = before.get("snapshot") if before.get("uuid") == own.uuid else None
-                self.sources[full] = Source(full, t, own.uuid, s.snapshot_id if s else None, known)
+                seen = before.get("uuid") == own.uuid
+                self.sources[full] = Source(full, t, own.uuid, s.snapshot_id if s else None, before.get("snapshot") if seen else None, seen)
         self.state = state
 
     def _state(self) -> dict:
@@ -225,7 +226,7 @@ class Refresh:
             return "fresh"
         try:
             shape = self.shape()
-            if self.state and shape.kind != "full" and all(s.before is not None and self._only_appends(s) for s in self.sources.values()):
+            if self.state and shape.kind != "full" and all(s.seen and self._only_appends(s) for s in self.sources.values()):
                 self.incremental(shape)
                 return "incremental"
             self.storage.replace(self._bound([s.table.df() for s in self._per_place()]), self._summary())
@@ -248,7 +249,7 @@ class Refresh:
         """The union of the terms; None if no place has news."""
         sources = self._per_place()
         cur = [s.table.df() for s in sources]
-        old = [s.table.df(snapshot_id=s.before).select(*c.columns) if not s.fresh else c for s, c in zip(sources, cur)]
+        old = [c if s.fresh else c.limit(0) if s.before is None else s.table.df(snapshot_id=s.before).select(*c.columns) for s, c in zip(sources, cur)]
         terms = []
         for i, s in enumerate(sources):
             if s.fresh:
