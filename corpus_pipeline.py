@@ -16,8 +16,6 @@ from tarnlake.llm import decontaminate, langid, packing, pii, simhash_trie
 from tarnlake.llm.common import Scratch, table
 
 KEY = b"tarnlake public example key"
-#: Differing bits up to which two five-word fingerprints are near copies; see the README for what similarity that reaches.
-NEAR_BITS = 4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group that fingerprints of five-word shingles link; texts without words are no copies."""
-    groups = simhash_trie.near_duplicates(docs, words=5, radius=NEAR_BITS)
-    copies = groups.where((F.col("component_id") < F.col("doc_id")) & (F.col("fp") != 0)).select("doc_id").distinct()
+    """Keeps the smallest id of each group of texts that are alike (five-word shingles, Jaccard 0.8); texts without words are no copies."""
+    groups = simhash_trie.near_copies(docs, words=5, similarity=0.8)
+    copies = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti")
 
 

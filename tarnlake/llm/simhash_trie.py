@@ -34,22 +34,36 @@ from .components import connected
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Majority-vote fingerprint of one text; 0 without any word."""
+#: Least shingle hashes that are kept to estimate a similarity; exact for texts with no more.
+SKETCH = 128
+
+
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; the whole sequence where it is shorter."""
     if not text:
-        return 0
+        return np.zeros(0, np.uint64)
     ws = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and the six ASCII blanks
     if not ws:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(ws) <= words:
-        hs = np.array([xxhash.xxh64_intdigest(b" ".join(ws), SEED)], np.uint64)
-    else:
-        joined = b" ".join(ws)
-        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        spans = zip(starts[: len(ws) - words + 1].tolist(), ends[words - 1 :].tolist())
-        hs = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(ws) - words + 1)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(ws), SEED)], np.uint64)
+    joined = b" ".join(ws)
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[: len(ws) - words + 1].tolist(), ends[words - 1 :].tolist())
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(ws) - words + 1)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Majority-vote fingerprint of one text; 0 without any word."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hs: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes."""
+    if not len(hs):
+        return 0
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hs), 1 << 16):
         part = hs[at : at + (1 << 16)]
@@ -58,6 +72,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def sketch(hs: np.ndarray) -> bytes:
+    """The least distinct hashes, in order."""
+    return (np.unique(hs)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their sketches: the share, among the least hashes of the union, of those in both."""
+    x, y = np.unique(np.frombuffer(a, "<u4")), np.unique(np.frombuffer(b, "<u4"))
+    union = np.union1d(x, y)[:SKETCH]
+    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True)).mean()) if len(union) else 1.0
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every whole text."""
     small_batches(docs.sparkSession)
@@ -100,34 +126,42 @@ def trie_links(fps: np.ndarray, radius: int, leaf: int = 48) -> np.ndarray:
         x = int(f[lo] ^ f[hi - 1])
         return max(depth, 64 - x.bit_length())
 
-    stack = [(0, len(f), 0, len(f), 0, 0)]
-    while stack:
-        a0, a1, b0, b1, depth, errors = stack.pop()
-        if a0 >= a1 or b0 >= b1 or errors > radius:
-            continue
-        same = a0 == b0 and a1 == b1
-        if same:
-            if a1 - a0 < 2:
+    def walk(radius: int) -> None:
+        stack = [(0, len(f), 0, len(f), 0, 0)]
+        while stack:
+            a0, a1, b0, b1, depth, errors = stack.pop()
+            if a0 >= a1 or b0 >= b1 or errors > radius:
                 continue
-            depth = jump(a0, a1, depth)
-        if depth >= 64 or (a1 - a0) * (b1 - b0) <= leaf * leaf:
-            d = np.bitwise_count(f[a0:a1, None] ^ f[None, b0:b1])
-            i, j = np.nonzero(d <= radius)
-            i, j = i + a0, j + b0
+            same = a0 == b0 and a1 == b1
             if same:
-                i, j = i[i < j], j[i < j]
-            for x, y in zip(i.tolist(), j.tolist()):
-                p, q = find(x), find(y)
-                if p != q:
-                    parent[q] = p
-                    out.append((x, y))
-            continue
-        (al, ah), (bl, bh) = halves(a0, a1, depth), halves(b0, b1, depth)
-        stack.append((*al, *bl, depth + 1, errors))
-        stack.append((*ah, *bh, depth + 1, errors))
-        stack.append((*al, *bh, depth + 1, errors + 1))
-        if not same:
-            stack.append((*ah, *bl, depth + 1, errors + 1))
+                if a1 - a0 < 2:
+                    continue
+                depth = jump(a0, a1, depth)
+            if depth >= 64 or (a1 - a0) * (b1 - b0) <= leaf * leaf:
+                near = np.bitwise_count(f[a0:a1, None] ^ f[None, b0:b1]) <= radius
+                if near.any():  # what is linked already needs no further link
+                    own, other = (np.array([find(i) for i in range(lo, hi)]) for lo, hi in ((a0, a1), (b0, b1)))
+                    near &= own[:, None] != other
+                i, j = np.nonzero(near)
+                i, j = i + a0, j + b0
+                if same:
+                    i, j = i[i < j], j[i < j]
+                for x, y in zip(i.tolist(), j.tolist()):
+                    p, q = find(x), find(y)
+                    if p != q:
+                        parent[q] = p
+                        out.append((x, y))
+                continue
+            (al, ah), (bl, bh) = halves(a0, a1, depth), halves(b0, b1, depth)
+            stack.append((*al, *bl, depth + 1, errors))
+            stack.append((*ah, *bh, depth + 1, errors))
+            stack.append((*al, *bh, depth + 1, errors + 1))
+            if not same:
+                stack.append((*ah, *bl, depth + 1, errors + 1))
+
+    # Near links first, so that the forest holds each group's nearest ones.
+    for limit in sorted({*range(2, radius, 3), radius}):
+        walk(limit)
     pairs = np.array(out, np.int64).reshape(-1, 2)
     return order[pairs]
 
@@ -138,55 +172,62 @@ def _blocks(width: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _regrow(turned: np.ndarray, fixed: int, at: int) -> np.ndarray:
-    """Keep the top ``fixed`` bits and turn the rest so that its bit ``at`` comes first."""
-    rest = 64 - fixed
+def _regrow(turned: np.ndarray, fixed: int, bits: int, at: int) -> np.ndarray:
+    """Keep the top ``fixed`` bits and turn the rest of ``bits`` so that its bit ``at`` comes first."""
     if at == 0:
         return turned
+    rest, zeros = bits - fixed, np.uint64(64 - bits)
     mask = np.uint64((1 << rest) - 1)
-    low = turned & mask
+    low = (turned >> zeros) & mask
     low = ((low << np.uint64(at)) | (low >> np.uint64(rest - at))) & mask
-    return (turned & ~mask) | low
+    return (turned & ~(mask << zeros)) | (low << zeros)
 
 
-def _grow(rows: DataFrame, radius: int, fixed: int) -> tuple[DataFrame, int]:
+def _grow(rows: DataFrame, radius: int, fixed: int, bits: int) -> tuple[DataFrame, int]:
     """Grow the trie below ``fixed`` error-free bits, once for each block on top."""
-    blocks = _blocks(64 - fixed, radius + 1)
+    blocks = _blocks(bits - fixed, radius + 1)
     least = min(w for _, w in blocks)
 
     def run(batches):
         for b in batches:
             path, x, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for k, (at, _) in enumerate(blocks):
-                t = _regrow(x.view(np.uint64), fixed, at)
+                t = _regrow(x.view(np.uint64), fixed, bits, at)
                 root = (t >> np.uint64(64 - fixed - least)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(path * (radius + 1) + k), pa.array(root), pa.array(t.view(np.int64)), pa.array(fp)],
                     ["path", "root", "turned", "fp"],
                 )
 
-    return rows.select("path", "turned", "fp").mapInArrow(run, "path int, root long, turned long, fp long"), fixed + least
+    return rows.select("path", "turned", "fp").mapInArrow(run, "path long, root long, turned long, fp long"), fixed + least
 
 
 def links(distinct: DataFrame, tmp: Scratch, radius: int = 2, limit: int = 8192) -> DataFrame:
-    """src, dst fingerprints: a forest of the links within ``radius`` bits, per trie root.
+    """src, dst fingerprints: a forest of the links within ``radius`` bits, per trie root."""
+    rows = distinct.select(F.lit(0).cast("long").alias("path"), F.col("fp").alias("turned"), "fp")
+    grown, fixed = _grow(rows, radius, 0, 64)
+    return _forest(grown, tmp, radius, fixed, 64, limit)
 
-    A root with more than ``limit`` fingerprints grows once more below its
-    error-free bits; after three growths a root has at most 2**20 places, so
-    what one task gathers is bounded and no pair is lost.
+
+def _forest(grown: DataFrame, tmp: Scratch, radius: int, fixed: int, bits: int, limit: int = 8192) -> DataFrame:
+    """src, dst: links of rows (path, root, turned, fp) with one path and root, ``fixed`` error-free bits.
+
+    A root with more than ``limit`` rows grows again below its error-free bits, so
+    what one task gathers is bounded and no pair is lost: after three growths from
+    none, at radius 2, a root has 2**20 places at most.
     """
-    rows = distinct.select(F.lit(0).alias("path"), F.col("fp").alias("turned"), "fp")
-    fixed, found = 0, []
+    found = []
     for level in range(3):
-        grown, fixed = _grow(rows, radius, fixed)
         counts = grown.groupBy("path", "root").agg(F.count("*").alias("n")).where("n > 1")
         busy = tmp.write(grown.join(counts, ["path", "root"]), f"roots-{level}")
-        small = busy if level == 2 else busy.where(F.col("n") <= limit)
+        rows = busy.where(F.col("n") > limit)
+        last = level == 2 or bits - fixed <= radius or rows.isEmpty()
+        small = busy if last else busy.where(F.col("n") <= limit)
         lists = small.groupBy("path", "root").agg(F.collect_list(F.struct("turned", "fp")).alias("fs"))
         found.append(lists.select("fs.turned", "fs.fp").mapInPandas(lambda it: _walk(it, radius), "src long, dst long"))
-        rows = busy.where(F.col("n") > limit)
-        if level == 2 or rows.isEmpty():
+        if last:
             break
+        grown, fixed = _grow(rows, radius, fixed, bits)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -198,21 +239,26 @@ def _walk(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame
     for pdf in batches:
         for turned, fp in zip(pdf["turned"], pdf["fp"]):
             t, fp = np.asarray(turned, np.int64).view(np.uint64), np.asarray(fp, np.int64)
-            p = trie_links(t, radius)
-            if len(p):
-                yield pd.DataFrame({"src": fp[p[:, 0]], "dst": fp[p[:, 1]]})
+            own, first, back = np.unique(t, return_index=True, return_inverse=True)
+            p = first[trie_links(own, radius)]
+            same = np.flatnonzero(first[back] != np.arange(len(t)))  # equal ones hang on the first
+            src, dst = np.append(p[:, 0], first[back[same]]), np.append(p[:, 1], same)
+            if len(src):
+                yield pd.DataFrame({"src": fp[src], "dst": fp[dst]})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id: the smallest id that links reach."""
-    spark = docs.sparkSession
-    tmp = Scratch(spark, "simhash")
+    tmp = Scratch(docs.sparkSession, "simhash")
     fp = tmp.write(fingerprints(docs, id_col, text_col, words), "fp")
     distinct = tmp.write(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = tmp.write(links(distinct, tmp, radius), "edges")
-    # (fingerprint, root) only for fingerprints with a link to another one
-    comp = connected(edges, tmp)
-    named = distinct.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return _components(fp, distinct, tmp.write(links(distinct, tmp, radius), "edges"), tmp)
+
+
+def _components(fp: DataFrame, distinct: DataFrame, edges: DataFrame, tmp: Scratch) -> DataFrame:
+    """doc_id, fp, component_id of rows (doc_id, fp), from links between distinct fingerprints (fp, least)."""
+    comp = connected(edges, tmp)  # (fingerprint, root) only for fingerprints with a link to another one
+    named = distinct.select("fp", "least").join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left")
     linked = named.where("root is not null")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = linked.join(least, "root").select("fp", "component_id").unionByName(
@@ -220,3 +266,88 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     by_fp = tmp.write(by_fp, "by_fp")
     return fp.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+# -- near copies by similarity: wide fingerprints
+
+#: Words of 64 bits in a wide fingerprint, and the odd factors that derive their hashes from a shingle's.
+WIDE = 16
+_ODD = np.random.default_rng(17).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Each trie takes so many bits of the wide fingerprint: the top ones free of errors, the others with a budget.
+TRIE_BITS, TRIE_TOP, TRIE_ERRORS = 40, 16, 3
+
+
+def wide_fingerprint(hs: np.ndarray) -> bytes:
+    """Majority bits of WIDE hashes derived from each distinct shingle's."""
+    out = np.zeros(WIDE, np.uint64)
+    hs = np.unique(hs)
+    for k in range(WIDE):
+        x = hs * _ODD[k]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        out[k] = majority(x ^ (x >> np.uint64(32)))
+    return out.astype("<u8").tobytes()
+
+
+def _tries(wide: bytes) -> np.ndarray:
+    """The bits of each trie, left-aligned in 64."""
+    bits = np.unpackbits(np.frombuffer(wide, np.uint8))
+    n = len(bits) // TRIE_BITS
+    rows = np.zeros((n, 64), np.uint8)
+    rows[:, :TRIE_BITS] = bits[: n * TRIE_BITS].reshape(n, TRIE_BITS)
+    return np.packbits(rows, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fp, component_id: groups of texts whose shingle sets have at least that Jaccard similarity.
+
+    64 bits are too few for such a similarity: at 0.8 a tenth to a fifth of the
+    bits differ.  So 1024 bits are voted on, and 25 tries of 40 of them each are
+    joined with themselves: 16 bits on top without error, 3 errors below.  A link
+    counts if the similarity, estimated from the 128 least shingle hashes of both
+    (exact for shorter texts), is reached.  Texts without words are no copies of
+    anything: each is a component of its own id.
+    """
+    spark = docs.sparkSession
+    tmp = Scratch(spark, "copies")
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide, kept = [], []
+            for t in b.column(1):
+                hs = shingle_hashes(t.as_py(), words)
+                wide.append(wide_fingerprint(hs) if len(hs) else None)
+                kept.append(sketch(hs) if len(hs) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "wide", "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, wide binary, sketch binary")
+    made = tmp.write(rows.withColumn("fp", F.xxhash64("wide")), "made")
+    blank = made.where("wide is null").select("doc_id", F.lit(0).cast("long").alias("fp"), F.col("doc_id").alias("component_id"))
+    made = made.where("wide is not null")
+    distinct = made.groupBy("fp").agg(F.min(F.struct("doc_id", "wide", "sketch")).alias("f"))
+    distinct = tmp.write(distinct.select("fp", F.col("f.doc_id").alias("least"), "f.wide", "f.sketch"), "distinct")
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = np.stack([_tries(w.as_py()) for w in b.column(1)])
+            path = np.broadcast_to(np.arange(t.shape[1]), t.shape).ravel()
+            fp = np.repeat(b.column(0).to_numpy(zero_copy_only=False), t.shape[1])
+            t = t.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array((t >> np.uint64(64 - TRIE_TOP)).view(np.int64)), pa.array(t.view(np.int64)), pa.array(fp)], ["path", "root", "turned", "fp"])
+
+    grown = distinct.select("fp", "wide").mapInArrow(slices, "path long, root long, turned long, fp long")
+    edges = tmp.write(_forest(grown, tmp, TRIE_ERRORS, TRIE_TOP, TRIE_BITS).distinct(), "edges")
+    of = distinct.select("fp", "sketch")
+    both = edges.join(of.withColumnRenamed("fp", "src"), "src").join(of.select(F.col("fp").alias("dst"), F.col("sketch").alias("_sketch")), "dst")
+    edges = tmp.write(both.mapInPandas(lambda it: _similar(it, similarity), "src long, dst long"), "similar")
+    return _components(made.select("doc_id", "fp"), distinct, edges, tmp).unionByName(blank)
+
+
+def _similar(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        keep = [resemblance(a, b) >= least for a, b in zip(pdf["sketch"], pdf["_sketch"])]
+        yield pdf.loc[np.array(keep, bool), ["src", "dst"]]

@@ -92,3 +92,30 @@ def test_query_equals_brute_force(spark):
     want = components(fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op10_simhash_trie(spark, d).collect()}
     assert got == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    texts, group = [], []
+    for g in range(60):
+        base = [word() for _ in range(rng.randint(60, 500))]
+        for k in range(rng.randint(1, 4)):
+            ws = list(base)
+            for _ in range(len(ws) // 100 * (k > 0)):  # a word in a hundred: similarity about 0.9
+                ws[rng.randrange(len(ws))] = word()
+            texts.append(" ".join(ws))
+            group.append(g)
+    n = len(texts)
+    texts += [None, "", " ", "x", "x", texts[0]]
+    df = spark.createDataFrame([(i, t, "w", 0) for i, t in enumerate(texts)], "doc_id long, text string, wide string, fp int")
+    rows = st.near_copies(df).collect()
+    got = {r.doc_id: r.component_id for r in rows}
+    assert len(rows) == len(texts) and got[n] == n and got[n + 1] == n + 1 and got[n + 4] == n + 3 and got[n + 5] == got[0]
+    first = {g: group.index(g) for g in group}
+    assert all(got[i] == first[g] or got[i] == i or group[got[i]] == g for i, g in enumerate(group))  # no clean text is linked
+    assert np.mean([got[i] == first[g] for i, g in enumerate(group)]) > 0.95
+    assert st.near_copies(df.limit(0)).count() == 0
+    many = [xxhash.xxh64_intdigest(str(i).encode(), 1) for i in range(90)]
+    a, b = np.array(many[:80], np.uint64), np.array(many[10:], np.uint64)
+    assert st.resemblance(st.sketch(a), st.sketch(b)) == 70 / 90
