@@ -14,6 +14,7 @@ are packed again each; an empty table packs into nothing; a null id is kept.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,7 +40,8 @@ class Ids:
     a word.  The memory of chunks is bounded and starts anew when full.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 250_000):
+    def __init__(self, tokenizer_file: str, most: int = 150_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(tokenizer_file)
