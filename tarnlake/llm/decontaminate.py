@@ -170,7 +170,7 @@ def _first(p: np.ndarray) -> np.ndarray:
     return f
 
 
-def tree_sum(parts: DataFrame, kind: np.dtype, fan: int = 32) -> np.ndarray | None:
+def tree_sum(parts: DataFrame, kind: np.dtype, fan: int = 8) -> np.ndarray | None:
     """The sum of arrays in binary column x, one per task, added in a tree; at most ``fan`` reach the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +186,11 @@ def tree_sum(parts: DataFrame, kind: np.dtype, fan: int = 32) -> np.ndarray | No
     while n > fan:
         n = -(-n // fan)
         parts = parts.repartition(n).mapInArrow(add, "x binary")
-    got = [np.frombuffer(r.x, kind) for r in parts.collect()]
-    return np.sum(got, axis=0) if got else None
+    total = None
+    for r in parts.collect():
+        x = np.frombuffer(r.x, kind)
+        total = x.copy() if total is None else total + x
+    return total
 
 
 def frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
