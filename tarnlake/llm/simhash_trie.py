@@ -303,10 +303,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     64 bits are too few for such a similarity: at 0.8 a tenth to a fifth of the
     bits differ.  So 1024 bits are voted on, and 25 tries of 40 of them each are
-    joined with themselves: 16 bits on top without error, 3 errors below.  A link
-    counts if the similarity, estimated from the 128 least shingle hashes of both
-    (exact for shorter texts), is reached.  Texts without words are no copies of
-    anything: each is a component of its own id.
+    joined with themselves: 16 bits on top without error, 3 errors below.  These
+    links only say which texts to compare: in each of their components, all pairs
+    are held against each other by their whole shingle sets.  Texts without words
+    are no copies of anything: each is a component of its own id.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "copies")
@@ -314,20 +314,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide, kept = [], []
-            for t in b.column(1):
+            wide = []
+            for t in b.column(2):
                 hs = shingle_hashes(t.as_py(), words)
                 wide.append(wide_fingerprint(hs) if len(hs) else None)
-                kept.append(sketch(hs) if len(hs) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wide, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "wide", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wide, pa.binary())], ["doc_id", "key", "wide"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, wide binary, sketch binary")
+    text = F.col(text_col).alias("text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), text).mapInArrow(run, f"doc_id {kind}, key long, wide binary")
     made = tmp.write(rows.withColumn("fp", F.xxhash64("wide")), "made")
     blank = made.where("wide is null").select("doc_id", F.lit(0).cast("long").alias("fp"), F.col("doc_id").alias("component_id"))
     made = made.where("wide is not null")
-    distinct = made.groupBy("fp").agg(F.min(F.struct("doc_id", "wide", "sketch")).alias("f"))
-    distinct = tmp.write(distinct.select("fp", F.col("f.doc_id").alias("least"), "f.wide", "f.sketch"), "distinct")
+    distinct = made.groupBy("fp").agg(F.min(F.struct("doc_id", "wide", "key")).alias("f"))
+    distinct = tmp.write(distinct.select("fp", F.col("f.doc_id").alias("least"), "f.wide", "f.key"), "distinct")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -340,14 +340,90 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(path), pa.array((t >> np.uint64(64 - TRIE_TOP)).view(np.int64)), pa.array(t.view(np.int64)), pa.array(fp)], ["path", "root", "turned", "fp"])
 
     grown = distinct.select("fp", "wide").mapInArrow(slices, "path long, root long, turned long, fp long")
-    edges = tmp.write(_forest(grown, tmp, TRIE_ERRORS, TRIE_TOP, TRIE_BITS).distinct(), "edges")
-    of = distinct.select("fp", "sketch")
-    both = edges.join(of.withColumnRenamed("fp", "src"), "src").join(of.select(F.col("fp").alias("dst"), F.col("sketch").alias("_sketch")), "dst")
-    edges = tmp.write(both.mapInPandas(lambda it: _similar(it, similarity), "src long, dst long"), "similar")
+    near = tmp.write(_forest(grown, tmp, TRIE_ERRORS, TRIE_TOP, TRIE_BITS).distinct(), "near")
+    edges = tmp.write(_compared(docs.select(F.xxhash64(text_col).alias("key"), text), distinct, near, tmp, words, similarity), "edges")
     return _components(made.select("doc_id", "fp"), distinct, edges, tmp).unionByName(blank)
 
 
-def _similar(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keep = [resemblance(a, b) >= least for a, b in zip(pdf["sketch"], pdf["_sketch"])]
-        yield pdf.loc[np.array(keep, bool), ["src", "dst"]]
+def _compared(texts: DataFrame, distinct: DataFrame, near: DataFrame, tmp: Scratch, words: int, least: float) -> DataFrame:
+    """src, dst: links of similarity ``least`` within each component of ``near``, from whole shingle sets; texts are (key, text)."""
+    family = connected(near, tmp, "family").select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    family = tmp.write(family.join(distinct.select("fp", "key"), "fp"), "families")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).astype("<u8").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+    sets = texts.join(family.select("key"), "key", "left_semi").select("key", "text").mapInArrow(run, "key long, shingles binary")
+    sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))  # of equal texts, one
+    rows = family.join(sets, "key").select("family", "fp", "shingles").repartition("family").sortWithinPartitions("family")
+    return rows.mapInArrow(lambda it: _alike(it, least), "src long, dst long")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The other columns of each run of equal values in the first one, which is in order."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and key[lo] != last:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            held.append([c[lo:hi] for c in rest])
+            last = key[lo]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _links(fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Each group as links of its first to the others."""
+    if fps:
+        src, dst = np.concatenate([np.repeat(g[:1], len(g) - 1) for g in fps]), np.concatenate([g[1:] for g in fps])
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for fp, sets in _gathered(batches):
+        yield from _links([fp[g] for g in alike([np.frombuffer(x, "<u8") for x in sets], least)])
+
+
+def alike(sets: list[np.ndarray], least: float) -> list[np.ndarray]:
+    """Groups of two or more sets of distinct values that links of Jaccard similarity ``least`` connect, every pair looked at.
+
+    Sets in order of size: those that can be so similar to one lie side by side.
+    """
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    values, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    ids = ids.astype(np.int32)
+    start = np.concatenate(([0], np.cumsum(size)))
+    mine, alone = np.zeros(len(values), np.int8), np.ones(len(sets), bool)
+    out = []
+    for first in range(len(sets)):
+        if not alone[first]:
+            continue
+        alone[first] = False
+        group, at = [first], 0
+        while at < len(group):
+            i, at = group[at], at + 1
+            lo, hi = np.searchsorted(size, least * size[i] - 1e-6), np.searchsorted(size, size[i] / least + 1e-6, "right")
+            others = np.flatnonzero(alone[lo:hi]) + lo
+            mine[ids[start[i] : start[i + 1]]] = 1
+            upto = np.cumsum(size[others])
+            for k in np.split(others, np.searchsorted(upto, np.arange(1 << 22, upto[-1], 1 << 22))) if len(others) else ():
+                if not len(k):
+                    continue
+                n, begin = size[k], np.cumsum(size[k]) - size[k]
+                both = np.add.reduceat(mine[ids[np.repeat(start[k] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
+                new = k[both / (n + size[i] - both) >= least]
+                alone[new] = False
+                group += new.tolist()
+            mine[ids[start[i] : start[i + 1]]] = 0
+        if len(group) > 1:
+            out.append(order[group])
+    return out

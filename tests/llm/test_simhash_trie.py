@@ -119,3 +119,53 @@ def test_near_copies_by_similarity(spark):
     many = [xxhash.xxh64_intdigest(str(i).encode(), 1) for i in range(90)]
     a, b = np.array(many[:80], np.uint64), np.array(many[10:], np.uint64)
     assert st.resemblance(st.sketch(a), st.sketch(b)) == 70 / 90
+
+
+def shingles(text, words=5):
+    ws = text.split()
+    return {tuple(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute_groups(sets, least=0.8):
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= least:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_copies_within_a_family_of_templates(spark):
+    """Texts of one template are near each other below 0.8; the copies among them are found all the same."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    frame, texts = [word() for _ in range(250)], []
+    for _ in range(150):
+        own = frame[:125] + [word() for _ in range(40)] + frame[125:]
+        texts.append(" ".join(own))
+        for _ in range(rng.randint(0, 2)):
+            ws = list(own)
+            for _ in range(2):
+                ws[rng.randrange(len(ws))] = word()
+            texts.append(" ".join(ws))
+    rng.shuffle(texts)
+    want = brute_groups([shingles(t) for t in texts])
+    got = {r.doc_id: r.component_id for r in st.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert 100 < len(set(want)) < len(texts)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_alike_equals_brute_force():
+    rng = np.random.default_rng(4)
+    base = [rng.choice(5000, rng.integers(1, 300), replace=False) for _ in range(30)]
+    sets = [np.unique(np.append(rng.permutation(b)[: int(len(b) * rng.uniform(0.75, 1))], rng.choice(5000, rng.integers(1, 2 + len(b) // 8)))) for b in base for _ in range(6)]
+    want, got = brute_groups([set(s.tolist()) for s in sets]), list(range(len(sets)))
+    for g in st.alike([s.astype(np.uint64) for s in sets], 0.8):
+        for i in g:
+            got[i] = min(g)
+    assert got == want and len(set(got)) < len(sets)
