@@ -273,8 +273,9 @@ def _components(fp: DataFrame, distinct: DataFrame, edges: DataFrame, tmp: Scrat
 #: Words of 64 bits in a wide fingerprint, and the odd factors that derive their hashes from a shingle's.
 WIDE = 16
 _ODD = np.random.default_rng(17).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Each trie takes so many bits of the wide fingerprint: the top ones free of errors, the others with a budget.
-TRIE_BITS, TRIE_TOP, TRIE_ERRORS = 40, 16, 3
+#: Each trie takes TRIE_BITS of the wide fingerprint, drawn anew: the top ones free of errors, the others with a budget.
+TRIES, TRIE_BITS, TRIE_TOP, TRIE_ERRORS = 40, 128, 12, 30
+_DRAWN = np.stack([np.random.default_rng(23 + k).permutation(64 * WIDE)[:TRIE_BITS] for k in range(TRIES)])
 
 
 def wide_fingerprint(hs: np.ndarray) -> bytes:
@@ -289,24 +290,39 @@ def wide_fingerprint(hs: np.ndarray) -> bytes:
     return out.astype("<u8").tobytes()
 
 
-def _tries(wide: bytes) -> np.ndarray:
-    """The bits of each trie, left-aligned in 64."""
-    bits = np.unpackbits(np.frombuffer(wide, np.uint8))
-    n = len(bits) // TRIE_BITS
-    rows = np.zeros((n, 64), np.uint8)
-    rows[:, :TRIE_BITS] = bits[: n * TRIE_BITS].reshape(n, TRIE_BITS)
-    return np.packbits(rows, axis=1).view(">u8").ravel().astype(np.uint64)
+def _tries(wides: pa.Array) -> np.ndarray:
+    """The bits of each trie of each wide fingerprint, as two words of 64."""
+    bits = np.unpackbits(np.frombuffer(b"".join(w.as_py() for w in wides), np.uint8).reshape(len(wides), -1), axis=1)
+    return np.packbits(bits[:, _DRAWN], axis=2).view(">u8").astype(np.uint64)
+
+
+def near_groups(x: np.ndarray, errors: int) -> list[np.ndarray]:
+    """Groups of two or more fingerprints (rows of two words) that links of at most ``errors`` differing bits connect, every pair looked at."""
+    a, b = np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1])
+    near = lambda i, j: np.bitwise_count(a[i, None] ^ a[j]) + np.bitwise_count(b[i, None] ^ b[j]) <= errors
+    every, out = np.arange(len(x)), []
+    left = every[np.concatenate([near(every[lo : lo + 256], every).sum(1) > 1 for lo in range(0, len(x), 256)])]
+    while len(left):
+        ahead, left = left[:1], left[1:]
+        group = [ahead]
+        while len(ahead) and len(left):
+            hit = near(ahead[:256], left).any(0)
+            group.append(left[hit])
+            ahead, left = np.append(ahead[256:], left[hit]), left[~hit]
+        out.append(np.concatenate(group))
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, fp, component_id: groups of texts whose shingle sets have at least that Jaccard similarity.
 
     64 bits are too few for such a similarity: at 0.8 a tenth to a fifth of the
-    bits differ.  So 1024 bits are voted on, and 25 tries of 40 of them each are
-    joined with themselves: 16 bits on top without error, 3 errors below.  These
-    links only say which texts to compare: in each of their components, all pairs
-    are held against each other by their whole shingle sets.  Texts without words
-    are no copies of anything: each is a component of its own id.
+    bits differ.  So 1024 bits are voted on, and 40 tries of 128 of them each are
+    joined with themselves: 12 bits on top without error, 30 errors below, where
+    all pairs of a root are held against each other.  These links only say which
+    texts to compare: in each of their components, all pairs are compared by their
+    whole shingle sets.  Texts without words are no copies of anything: each is a
+    component of its own id.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "copies")
@@ -333,14 +349,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             if not b.num_rows:
                 continue
-            t = np.stack([_tries(w.as_py()) for w in b.column(1)])
-            path = np.broadcast_to(np.arange(t.shape[1]), t.shape).ravel()
-            fp = np.repeat(b.column(0).to_numpy(zero_copy_only=False), t.shape[1])
-            t = t.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array((t >> np.uint64(64 - TRIE_TOP)).view(np.int64)), pa.array(t.view(np.int64)), pa.array(fp)], ["path", "root", "turned", "fp"])
-
-    grown = distinct.select("fp", "wide").mapInArrow(slices, "path long, root long, turned long, fp long")
-    near = tmp.write(_forest(grown, tmp, TRIE_ERRORS, TRIE_TOP, TRIE_BITS).distinct(), "near")
+            t = _tries(b.column(1))
+            root = (np.arange(TRIES) << TRIE_TOP) + (t[:, :, 0] >> np.uint64(64 - TRIE_TOP)).astype(np.int64)
+            fp = np.repeat(b.column(0).to_numpy(zero_copy_only=False), TRIES)
+            high, low = (pa.array(t[:, :, k].ravel().view(np.int64)) for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(root.ravel()), high, low, pa.array(fp)], ["root", "high", "low", "fp"])
+
+    grown = distinct.select("fp", "wide").mapInArrow(slices, "root long, high long, low long, fp long")
+    grown = grown.repartition("root").sortWithinPartitions("root")
+    near = tmp.write(grown.mapInArrow(_near, "src long, dst long").distinct(), "near")
     edges = tmp.write(_compared(docs.select(F.xxhash64(text_col).alias("key"), text), distinct, near, tmp, words, similarity), "edges")
     return _components(made.select("doc_id", "fp"), distinct, edges, tmp).unionByName(blank)
 
@@ -386,6 +403,19 @@ def _links(fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found, n = [], 0
+    for high, low, fp in _gathered(batches):
+        if len(fp) < 2:
+            continue
+        own = [np.sort(fp[g]) for g in near_groups(np.stack([high, low], 1).view(np.uint64), TRIE_ERRORS)]
+        found, n = found + own, n + sum(map(len, own))
+        if n > 4096:
+            yield from _links(found)
+            found, n = [], 0
+    yield from _links(found)
+
+
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for fp, sets in _gathered(batches):
         yield from _links([fp[g] for g in alike([np.frombuffer(x, "<u8") for x in sets], least)])

@@ -169,3 +169,20 @@ def test_alike_equals_brute_force():
         for i in g:
             got[i] = min(g)
     assert got == want and len(set(got)) < len(sets)
+
+
+def test_isolated_pairs_near_the_threshold_are_found(spark):
+    rng, n = np.random.default_rng(6), 0
+    texts, alike = [], []
+    for size in (12, 40, 304):
+        for _ in range(200):
+            a, n = [f"w{n + k}" for k in range(size)], n + size
+            b = a[: size - int(rng.integers(1, size // 4))]
+            s = jaccard(shingles(" ".join(a)), shingles(" ".join(b)))
+            texts += [" ".join(a), " ".join(b)]
+            alike.append(s)
+    got = {r.doc_id: r.component_id for r in st.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = np.array([got[2 * k] == got[2 * k + 1] for k in range(len(alike))])
+    s = np.array(alike)
+    assert not found[s < 0.8].any()
+    assert found[(s >= 0.8) & (s < 0.85)].mean() > 0.98 and found[s >= 0.85].mean() > 0.99
