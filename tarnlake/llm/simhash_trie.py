@@ -342,8 +342,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = tmp.write(rows.withColumn("fp", F.xxhash64("wide")), "made")
     blank = made.where("wide is null").select("doc_id", F.lit(0).cast("long").alias("fp"), F.col("doc_id").alias("component_id"))
     made = made.where("wide is not null")
-    distinct = made.groupBy("fp").agg(F.min(F.struct("doc_id", "wide", "key")).alias("f"))
-    distinct = tmp.write(distinct.select("fp", F.col("f.doc_id").alias("least"), "f.wide", "f.key"), "distinct")
+    distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("wide", "key")).alias("f"))  # a null id is no minimum
+    distinct = tmp.write(distinct.select("fp", "least", "f.wide", "f.key"), "distinct")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

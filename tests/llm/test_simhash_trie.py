@@ -186,3 +186,9 @@ def test_isolated_pairs_near_the_threshold_are_found(spark):
     s = np.array(alike)
     assert not found[s < 0.8].any()
     assert found[(s >= 0.8) & (s < 0.85)].mean() > 0.98 and found[s >= 0.85].mean() > 0.99
+
+
+def test_null_id_among_copies(spark, docs_of):
+    text = "one two three four five six seven"
+    rows = st.near_copies(docs_of([(None, text), (4, text), (3, text), (9, "quite another text of a few words")])).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in rows) == [(0, 3), (3, 3), (4, 3), (9, 9)]
