@@ -12,7 +12,7 @@ Kinds: email, card, iban, ip, phone, ssn, date, secret.
 
 Edge cases: a null text stays null, an empty one empty; text without a valid
 value is returned as it is; where finds overlap, the earlier kind of the list
-above wins; repeated rows are rewritten alike; an empty table gives an empty
+above wins, and of a secret the rest is replaced too; repeated rows are rewritten alike; an empty table gives an empty
 result; other columns are kept by ``rewrite`` and its new ones replace columns
 of the same name.
 """
@@ -190,7 +190,7 @@ _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\1\d{4})(?![\w])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _DATE = re.compile(r"(?<![\w/.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-])")
-_SECRET = re.compile(r"""(?i:\b(?:[a-z0-9]+[_-])*(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b["']?\s{0,3}[:=]\s{0,3}["']?)([A-Za-z0-9_+/=.-]{16,200})""")
+_SECRET = re.compile(r"""(?i:\b(?:[a-z0-9]+[_-])*(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b["']?\s{0,3}[:=]\s{0,3}["']?)([A-Za-z0-9_+/=.-]{16,})""")
 
 
 def _emails(t: str) -> Iterator[tuple[int, int]]:
@@ -239,6 +239,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for own in sorted(found, key=lambda x: (rank[x[2]], x)):
         if all(own[1] <= a or b <= own[0] for a, b, _ in taken) if len(found) < 64 else _apart(own, taken):
             taken.append(own)
+        elif own[2] == "secret":
+            taken += _around(own, taken)
     return sorted(taken)
 
 
@@ -246,6 +248,16 @@ def _apart(own: tuple[int, int, str], taken: list[tuple[int, int, str]]) -> bool
     return not any(a < own[1] and own[0] < b for a, b, _ in taken)
 
 
+def _around(own: tuple[int, int, str], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """What other finds leave of ``own``."""
+    out, at = [], own[0]
+    for a, b, _ in sorted(t for t in taken if t[0] < own[1] and own[0] < t[1]):
+        if at < a:
+            out.append((at, a, own[2]))
+        at = max(at, b)
+    return [*out, (at, own[1], own[2])] if at < own[1] else out
+
+
 @lru_cache(1 << 14)
 def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str:
     """The pseudonym of a valid value, or with ``back`` the value of a pseudonym."""

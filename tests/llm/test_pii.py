@@ -74,3 +74,20 @@ def test_query(spark):
         want, spans = pii.replace(texts[r.doc_id], queries.PII_KEY)
         assert r.text == want and r.n_found == len(spans)
         assert not any(len(v) > 9 and v in r.text for v in (texts[r.doc_id][a:b] for a, b, _ in spans))
+
+
+def test_long_secrets_are_replaced_whole():
+    import random
+
+    rng = random.Random(2)
+    head = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(200))
+    tails = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(150)) for _ in range(2)]
+    new = []
+    for tail in tails:
+        out, spans = pii.replace(f"token={head}{tail} end", KEY)
+        assert spans == [(6, 356, "secret")] and out.startswith("token=") and out.endswith(" end") and tail not in out
+        new.append(out[6:206])
+    assert new[0] != new[1]
+    inner = f"token={head}/10.20.30.40/{tails[0]} end"  # another kind within
+    out, spans = pii.replace(inner, KEY)
+    assert [k for _, _, k in spans] == ["secret", "ip", "secret"] and head not in out and tails[0] not in out
