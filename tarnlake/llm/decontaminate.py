@@ -22,7 +22,8 @@ The benchmark is a stated query set; it is collected, and its size is checked
 (``most_items``).
 
 Edge cases: null and empty texts have no words and no match; items that are null
-or have fewer than ``least_words`` words are not searched; repeated documents are
+or have no word are not searched, those of fewer than ``least_words`` words match
+where all their words (64-bit hashes) follow each other, with no cosine; repeated documents are
 matched each, repeated items too; without documents or items the result is empty;
 other columns are ignored.
 """
@@ -402,14 +403,16 @@ def matches(
     n = benchmark.count()
     if n > most_items:
         raise ValueError(f"{n} benchmark items: search them in parts of at most {most_items}")
-    items = []
+    items, short = [], []
     for r in benchmark.select("item_id", "text").where("text is not null").collect():
         raw = np.frombuffer(r.text.encode("utf-8", "surrogatepass"), np.uint8)
         h, _ = words_of(raw, np.array([len(raw)]))
         if len(h) >= least_words:
             items.append((r.item_id, _id(h)))
+        elif len(h):
+            short.append((r.item_id, h))
     if not items:
-        return spark.createDataFrame([], schema)
+        return sequences(docs, short, schema, id_col, text_col) if short else spark.createDataFrame([], schema)
     tmp = Scratch(spark, "decontaminate")
     kept = tmp.write(word_ids(docs, id_col, text_col), "words")
     df, passages = frequencies(kept.select("words"))
@@ -428,4 +431,33 @@ def matches(
                 item, c, share, told = zip(*out)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(item), pa.array(c), pa.array(share), pa.array(told)], ["doc_id", "item_id", "cosine", "lcs_share", "answer_found"])
 
-    return kept.mapInArrow(run, schema)
+    out = kept.mapInArrow(run, schema)
+    return out.unionByName(sequences(docs, short, schema, id_col, text_col)) if short else out
+
+
+def sequences(docs: DataFrame, items: list[tuple[object, np.ndarray]], schema: str, id_col: str, text_col: str) -> DataFrame:
+    """Matches of items that are short sequences of word hashes, in the columns of ``matches``."""
+    by_length: dict[int, dict[tuple, list[object]]] = {}
+    for i, h in items:
+        by_length.setdefault(len(h), {}).setdefault(tuple(h.tolist()), []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, out = [], []
+            for lo, _, h, upto in _slices(b.column(1)):
+                for n, wanted in by_length.items():
+                    at = np.flatnonzero(np.isin(h, np.array([w[0] for w in wanted], np.uint64)))
+                    d = np.searchsorted(upto, at, "right")
+                    at, d = at[at + n <= upto[d]], d[at + n <= upto[d]]
+                    seen = set(zip(d.tolist(), map(tuple, h[at[:, None] + np.arange(n)].tolist())))
+                    for k, ws in sorted(seen):
+                        rows += [lo + k] * len(wanted.get(ws, ()))
+                        out += wanted.get(ws, ())
+            if rows:
+                one = pa.array([1.0] * len(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(rows)), pa.array(out), pa.nulls(len(rows), pa.float64()), one, pa.array([True] * len(rows))],
+                    ["doc_id", "item_id", "cosine", "lcs_share", "answer_found"],
+                )
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -85,3 +85,13 @@ def test_query_finds_every_verbatim_item(spark):
     want = {(r.doc_id, i) for r in docs for t in [" ".join(plain_words(r.text))] for i, y in items.items() if y in t}
     got = {(r.doc_id, r.item_id) for r in queries.op3_latent_decontamination(spark, d).collect()}
     assert got == want and want
+
+
+def test_short_items_match_as_whole_sequences(spark):
+    docs = spark.createDataFrame([(1, "so Blue whale, here"), (2, "whale blue"), (3, "blue whales"), (4, None), (5, "a blue"), (6, "whale b. Blue whale blue whale")], "doc_id long, text string")
+    long = "one two three four five six seven eight nine ten"
+    for more in ([], [(9, long)]):
+        items = spark.createDataFrame([(7, "blue whale"), (8, "blue whale"), (2, "!"), (3, None), *more], "item_id long, text string")
+        got = sorted((r.doc_id, r.item_id) for r in dc.matches(docs, items).collect())
+        assert got == [(1, 7), (1, 8), (6, 7), (6, 8)]
+    assert dc.matches(docs.limit(0), items).count() == 0
