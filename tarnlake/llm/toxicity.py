@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
         p = (y.sum() + 0.5) / (len(y) + 1)
         m.b = float(np.log(p / (1 - p)))
         return m
-    keep = select(rows, y, least if len(y) > 500 else 2, most)
+    keep = select(rows, y, least, most)
     place = np.full(PLACES, -1)
     place[keep] = np.arange(len(keep))
     rows = [p[p >= 0] for r in rows for p in [place[r]]]

@@ -49,3 +49,15 @@ def test_query_on_held_out_rows(spark):
     assert all(r.predicted == (r.score >= 0.5) for r in rows)
     held = [(r.predicted, y[r.doc_id]) for r in rows if r.held_out and r.doc_id in y]
     assert np.mean([p for p, t in held if t]) > 0.8 and np.mean([p for p, t in held if not t]) < 0.02
+
+
+def test_least_counts_on_small_tables(spark):
+    from pyspark.sql import functions as F
+
+    from tarnlake.llm import toxicity
+
+    texts = [(i, "plain words here" + (" vilest" if i < 20 else "") + (" rarely" if i < 5 else "")) for i in range(100)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i, _ in texts], "doc_id long, toxic int")
+    two, eight = (set(toxicity.train(docs, labels, F.lit(True), least=n).keep.tolist()) for n in (2, 8))
+    assert eight and eight < two
