@@ -2,11 +2,12 @@
 
 Values are found by pattern and validated (Luhn, mod 97, calendar, octets, number
 plans).  Each is a number within its format: digits of a card without the check
-digit, an address as 32 bits, a date as a day, letters and digits of an e-mail
-name as mixed radix.  A keyed Feistel network over that many bits, walked until
+digit, an address as 32 bits, a date as a day of its part of the month, letters
+and digits of an e-mail name as mixed radix.  A keyed Feistel network over that many bits, walked until
 it is back in range, permutes the format, so a value has one pseudonym in every
 document, another value has another one, and the key's holder can undo it.
-Separators, letter case, lengths and check digits are kept.
+Separators, letter case, check digits and lengths (but for octets) are kept.
+Only ASCII digits make values; numbers in other scripts stay.
 
 Kinds: email, card, iban, ip, phone, ssn, date, secret.
 
@@ -19,12 +20,13 @@ of the same name.
 
 from __future__ import annotations
 
-import datetime
+import calendar
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +84,7 @@ def _mixed(text: str, key: bytes, tweak: str, back: bool, alphabets: tuple[str,
 
 def _with_digits(shape: str, digits: str) -> str:
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+    return "".join(next(it) if c in _DIGITS else c for c in shape)
 
 
 def _only_digits(s: str) -> str:
@@ -130,7 +132,7 @@ def _ip(s: str, key: bytes, back: bool) -> str:
 
 def _phone(s: str, key: bytes, back: bool) -> str:
     """The country code stays, as do separators."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", s)
+    head = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+[0-9]", s)
     at = head.end() if head else 0
     return s[:at] + _with_digits(s[at:], _mixed(_only_digits(s[at:]), key, "phone", back))
 
@@ -144,38 +146,70 @@ def _ssn(s: str, key: bytes, back: bool) -> str:
     return f"{a + 1 + (a + 1 >= 666):03d}-{g + 1:02d}-{n + 1:04d}"
 
 
-_FIRST, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
+_YEARS = range(1900, 2100)
+#: Days after the twelfth before each month since 1900, and in all.
+_LATE = np.concatenate(([0], np.cumsum([calendar.monthrange(y, m)[1] - 12 for y in _YEARS for m in range(1, 13)])))
 
 
-def _day(s: str) -> tuple[int, str] | None:
-    """Days since 1900 and the layout, if this is a day of 1900 to 2099."""
+def _day(s: str) -> tuple[dict[str, int], str] | None:
+    """Year, month and day, and the layout, if this is a day of 1900 to 2099; what reads both ways is day, month."""
     parts = re.split(r"[-/.]", s)
-    for layout in ("ymd", "dmy", "mdy") if len(parts[0]) < 4 else ("ymd",):
-        try:
-            x = dict(zip(layout, map(int, parts)))
-            n = (datetime.date(x["y"], x["m"], x["d"]) - _FIRST).days
-        except ValueError:
-            continue
-        if 0 <= n < _DAYS:
-            return n, layout
+    for layout in ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy"):
+        x = dict(zip(layout, map(int, parts)))
+        if x["y"] in _YEARS and 1 <= x["m"] <= 12 and 1 <= x["d"] <= calendar.monthrange(x["y"], x["m"])[1]:
+            return x, layout
     return None
 
 
 def _date(s: str, key: bytes, back: bool) -> str:
-    n, layout = _day(s)
-    day = _FIRST + datetime.timedelta(days=permute(n, _DAYS, key, "date", back))
-    if layout == "dmy" and day.day <= 12 or layout == "mdy":  # a day that reads both ways keeps the order day, month
-        layout = "dmy" if "d" in layout[:1] else layout
-    at = {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"}
+    """A day up to the twelfth becomes another such one, a later day a later one: so every layout reads as before, and all have one permutation."""
+    x, layout = _day(s)
+    month = (x["y"] - _YEARS[0]) * 12 + x["m"] - 1
+    if x["d"] <= 12:
+        month, day = divmod(permute(month * 12 + x["d"] - 1, len(_YEARS) * 144, key, "date", back), 12)
+        day += 1
+    else:
+        at = permute(int(_LATE[month]) + x["d"] - 13, int(_LATE[-1]), key, "late date", back)
+        month = int(np.searchsorted(_LATE, at, "right")) - 1
+        day = at - int(_LATE[month]) + 13
+    at = {"y": f"{_YEARS[0] + month // 12:04d}", "m": f"{month % 12 + 1:02d}", "d": f"{day:02d}"}
     sep = re.search(r"[-/.]", s)[0]
     return sep.join(at[c] for c in layout)
 
 
-def _secret(s: str, key: bytes, back: bool) -> str:
+#: Longest run of characters that is permuted as one number.
+BLOCK = 256
+
+
+def _chained(text: str, key: bytes, tweak: str, back: bool, alphabets: tuple[str, ...]) -> str:
+    """As ``_mixed`` for any length: blocks, each tweaked by the one before it, then once more from the end."""
+    if len(text) <= BLOCK:
+        return _mixed(text, key, tweak, back, alphabets)
+    blocks = [text[at : at + BLOCK] for at in range(0, len(text), BLOCK)]
+    for turn in (1, 0) if back else (0, 1):
+        blocks, last, out = blocks[::-1] if turn else blocks, "", []
+        for b in blocks:
+            own = f"{tweak}|{turn}|{hashlib.sha256(last.encode()).hexdigest()}"
+            out.append(_mixed(b, key, own, back, alphabets))
+            last = b if back else out[-1]
+        blocks = out[::-1] if turn else out
+    return "".join(blocks)
+
+
+def _hex(s: str) -> tuple[str, ...]:
     for alphabet in ("0123456789abcdef", "0123456789ABCDEF"):
-        if all(c in alphabet for c in s):
-            return _mixed(s, key, "hex" + alphabet[-1], back, (alphabet,))
-    return _mixed(s, key, "secret", back)
+        if not set(s) - set(alphabet):
+            return (alphabet,)
+    return ()
+
+
+def _secret(s: str, key: bytes, back: bool) -> str:
+    """Hexadecimal stays so, and what is not does not become so: the permutation is walked until it reads alike."""
+    own = _hex(s)
+    while True:
+        s = _chained(s, key, "hex" + own[0][-1] if own else "secret", back, own or (_DIGITS, _LOWER, _UPPER))
+        if _hex(s) == own:
+            return s
 
 
 _PSEUDONYM: dict[str, Callable[[str, bytes, bool], str]] = {
@@ -184,13 +218,13 @@ _PSEUDONYM: dict[str, Callable[[str, bytes, bool], str]] = {
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-_CARD = re.compile(r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![A-Za-z0-9])")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
-_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\1\d{4})(?![\w])")
-_SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-_DATE = re.compile(r"(?<![\w/.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-])")
-_SECRET = re.compile(r"""(?i:\b(?:[a-z0-9]+[_-])*(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b["']?\s{0,3}[:=]\s{0,3}["']?)([A-Za-z0-9_+/=.-]{16,})""")
+_CARD = re.compile(r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IP = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])")
+_PHONE = re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4})(?![\w])")
+_SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
+_DATE = re.compile(r"(?<![\w/.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w/-])")
+_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b["']?\s{0,3}[:=]\s{0,3}["']?)([A-Za-z0-9_+/=.-]{16,})""")
 
 
 def _emails(t: str) -> Iterator[tuple[int, int]]:
@@ -208,7 +242,7 @@ def _valid(kind: str, s: str) -> bool:
         return luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1
     if kind == "iban":
         flat = s.replace(" ", "")
-        return 15 <= len(flat) <= 34 and _iban_rest(flat) == 1
+        return 15 <= len(flat) <= 34 and 2 <= int(flat[2:4]) <= 98 and _iban_rest(flat) == 1
     if kind == "ip":
         return all(int(p) < 256 and (p == "0" or p[0] != "0") for p in s.split("."))
     if kind == "phone":
@@ -226,36 +260,35 @@ _TWO_DIGITS = re.compile(r"[0-9][0-9 .()/-]?[0-9]|\.[0-9]")
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of validated values, in order and apart."""
-    found: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []
     if "@" in text:
-        found += [(a, b, "email") for a, b in _emails(text)]
+        taken = _merged(taken, _emails(text), "email")
     if _TWO_DIGITS.search(text):
         for kind, pattern in _DIGIT_KINDS:
-            found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if _valid(kind, m[0])]
+            taken = _merged(taken, [m.span() for m in pattern.finditer(text) if _valid(kind, m[0])], kind)
     if "=" in text or ":" in text:
-        found += [(m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[1])]
-    rank = {k: i for i, k in enumerate(KINDS)}
-    taken: list[tuple[int, int, str]] = []
-    for own in sorted(found, key=lambda x: (rank[x[2]], x)):
-        if all(own[1] <= a or b <= own[0] for a, b, _ in taken) if len(found) < 64 else _apart(own, taken):
-            taken.append(own)
-        elif own[2] == "secret":
-            taken += _around(own, taken)
-    return sorted(taken)
-
-
-def _apart(own: tuple[int, int, str], taken: list[tuple[int, int, str]]) -> bool:
-    return not any(a < own[1] and own[0] < b for a, b, _ in taken)
-
-
-def _around(own: tuple[int, int, str], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """What other finds leave of ``own``."""
-    out, at = [], own[0]
-    for a, b, _ in sorted(t for t in taken if t[0] < own[1] and own[0] < t[1]):
-        if at < a:
-            out.append((at, a, own[2]))
-        at = max(at, b)
-    return [*out, (at, own[1], own[2])] if at < own[1] else out
+        taken = _merged(taken, [m.span(1) for m in _SECRET.finditer(text) if any(c in _DIGITS for c in m[1])], "secret")
+    return taken
+
+
+def _merged(taken: list[tuple[int, int, str]], new: Iterable[tuple[int, int]], kind: str) -> list[tuple[int, int, str]]:
+    """Both lists, each in order, in one pass: a new span that meets a taken one goes; of a secret the parts between them stay."""
+    out, k = [], 0
+    for a, b in new:
+        while k < len(taken) and taken[k][1] <= a:
+            out.append(taken[k])
+            k += 1
+        if kind == "secret":
+            while k < len(taken) and taken[k][0] < b:
+                if a < taken[k][0]:
+                    out.append((a, taken[k][0], kind))
+                out.append(taken[k])
+                a, k = taken[k][1], k + 1
+            if a < b:
+                out.append((a, b, kind))
+        elif (k == len(taken) or b <= taken[k][0]) and (not out or out[-1][1] <= a):
+            out.append((a, b, kind))
+    return out + taken[k:]
 
 
 @lru_cache(1 << 14)
