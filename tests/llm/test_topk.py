@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from tarnlake.llm import queries, topk
@@ -6,13 +8,18 @@ from .oracle import rows_of, sql_rows
 
 
 def brute(rows, k, every):
-    ok = {i: np.floor(256 * np.array(v, np.float64)).astype(np.int64) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)}
-    out = set()
-    for q in ok:
+    """Every row against every other, in Python's integers."""
+    ok = [(i, [math.floor(256 * c) for c in v]) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for n, (q, x) in enumerate(ok):
         if q % every == 0:
-            best = sorted((-int(ok[q] @ ok[c]), c) for c in ok if c != q)[:k]
-            out |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best)}
-    return out
+            best = sorted((-sum(a * b for a, b in zip(x, y)), c) for m, (c, y) in enumerate(ok) if m != n and len(y) == len(x))[:k]
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    return sorted(out)
+
+
+def found(df, **kwargs):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, **kwargs).collect())
 
 
 def test_small_shards_equal_brute_force(spark, monkeypatch):
@@ -21,10 +28,35 @@ def test_small_shards_equal_brute_force(spark, monkeypatch):
     rows = [(i, (base[i % 40] + 0.05 * rng.normal(size=8) * (i % 3)).tolist()) for i in range(900)]
     rows += [(1000, None), (1001, [None] * 8), (1002, [float("nan")] * 8), (1050, [float("inf")] + [0.0] * 7), (1100, []), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<float>, label int, dist double")
-    monkeypatch.setattr(topk, "ANNULUS", 4)
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, pivots=8, block=7).collect()}
-    assert got == brute(rows, 5, 50)
+    want = brute(rows, 5, 50)
+    for name, value in (("ANNULUS", 4), ("BANDS", 3), ("SHARD", 16), ("QUERY_BLOCK", 4)):
+        monkeypatch.setattr(topk, name, value)
+    assert found(df, pivots=8) == want
+    assert found(df, pivots=1) == want
+
+
+def test_repeated_rows_are_candidates_of_each_other(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(32)] + [(0, [3.0, 0.0, 0.0, 0.0])] * 3 + [(0, [0.0] * 4)] * 7
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(df, pivots=4) == brute(rows, 5, 50)
+
+
+def test_large_components_and_other_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(topk, "ANNULUS", 8)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** (i % 8)).tolist()) for i in range(200)]
+    rows += [(200 + i, rng.normal(size=3 + i % 2).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(df, pivots=4, every=10) == brute(rows, 5, 10)
+
+
+def test_scores_beyond_a_long(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e12, 0.0]), (2, [2e12, 0.0]), (3, [-1e12, 0.0]), (4, [0.0, 5.0]), (5, [-2e12, 0.0]), (6, [1e307, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top, low = 2**63 - 1, -(2**63) + 1
+    assert found(df, k=6) == [(0, 1, 6, top), (0, 2, 2, top), (0, 3, 1, top), (0, 4, 4, 256 * 1280), (0, 5, 3, low), (0, 6, 5, low)]
 
 
 def test_few_and_none(spark):
@@ -43,15 +75,17 @@ def test_query_equals_sql(spark):
 
 def test_bounds_prune():
     rng = np.random.default_rng(1)
-    x = np.floor(256 * np.repeat(rng.normal(size=(20, 8)), 50, 0) + rng.normal(size=(1000, 8)))
-    p = x[::50]
-    d = topk._distances(x, p)
+    x = np.repeat(rng.normal(size=(20, 8)), 50, 0) + rng.normal(size=(1000, 8)) / 256
+    s = topk.scaled(x, 256.0)
+    p = s[::50]
+    d = topk._distances(s, p)
     own = d.argmin(1)
     annuli = []
     for k in range(20):
         c = np.flatnonzero(own == k)
         c = c[np.argsort(d[c, k])]
-        annuli += [topk.annulus(k, d[s, k], s, x[s]) for s in np.array_split(c, 3) if len(s)]
-    q = topk.Search(np.arange(1000)[:10], x[:10], 5)
-    scanned = topk.search_blocks(q, p, annuli)
+        annuli += [topk.annulus(k, d[a, k], a, a, x[a], 256.0) for a in np.array_split(c, 3) if len(a)]
+    q = topk.Search(np.arange(10), x[:10], 5, 256.0)
+    pivot = [a["pivot"] for a in annuli]
+    scanned = topk.search_blocks(q, d[:10][:, pivot], (s[:10] @ p.T)[:, pivot], annuli)
     assert scanned < 10 * len(annuli) / 2
