@@ -40,7 +40,7 @@ class Ids:
     a word.  The memory of chunks is bounded and starts anew when full.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 150_000):
+    def __init__(self, tokenizer_file: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core; threads would each keep memory
         from tokenizers import Tokenizer
 
@@ -173,18 +173,24 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, id_
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            rows, out = [], []
+            rows, piece, crc, size = [], [], [], []
             for k, x in enumerate(ids.many([t or "" for t in b.column(1).to_pylist()])):
-                x = np.append(x, np.uint32(end_id)).astype("<u4")
+                x = memoryview(np.append(x, np.uint32(end_id)).astype("<u4", copy=False))
                 for p, at in enumerate(range(0, len(x), capacity)):
                     cut = x[at : at + capacity]
                     rows.append(k)
-                    out.append((p, at, len(cut), zlib.crc32(cut.tobytes()), seen[len(cut)]))
-                    seen[len(cut)] += 1
+                    piece.append(p)
+                    size.append(len(cut))
+                    crc.append(zlib.crc32(cut))
             if rows:
-                p, at, n, crc, rank = (np.array(c, np.int64) for c in zip(*out))
+                p, n = np.array(piece, np.int32), np.array(size, np.int64)
+                order = np.argsort(n, kind="stable")
+                rank = np.empty(len(n), np.int64)
+                rank[order] = np.arange(len(n)) - np.searchsorted(n[order], n[order])
+                rank += seen[n]
+                seen += np.bincount(n, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows)), pa.array(p.astype(np.int32)), pa.array(at), pa.array(n), pa.array(crc), pa.array(np.full(len(p), part, np.int32)), pa.array(rank)],
+                    [b.column(0).take(pa.array(rows)), pa.array(p), pa.array(p * np.int64(capacity)), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(p), part, np.int32)), pa.array(rank)],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
                 )
 
