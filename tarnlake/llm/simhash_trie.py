@@ -19,6 +19,7 @@ table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import linked
 from .common import Scratch, small_batches
 from .components import connected
 
 SEED = 42
 
 
-#: Least shingle hashes that are kept to estimate a similarity; exact for texts with no more.
-SKETCH = 128
-
-
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
     """XXH64 of every shingle, repeats included; the whole sequence where it is shorter."""
     if not text:
@@ -72,18 +70,6 @@ def majority(hs: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def sketch(hs: np.ndarray) -> bytes:
-    """The least distinct hashes, in order."""
-    return (np.unique(hs)[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
-
-
-def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their sketches: the share, among the least hashes of the union, of those in both."""
-    x, y = np.unique(np.frombuffer(a, "<u4")), np.unique(np.frombuffer(b, "<u4"))
-    union = np.union1d(x, y)[:SKETCH]
-    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True)).mean()) if len(union) else 1.0
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every whole text."""
     small_batches(docs.sparkSession)
@@ -265,7 +251,7 @@ def _components(fp: DataFrame, distinct: DataFrame, edges: DataFrame, tmp: Scrat
         named.where("root is null").select("fp", F.col("least").alias("component_id"))
     )
     by_fp = tmp.write(by_fp, "by_fp")
-    return fp.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return fp.join(by_fp, "fp").select(*fp.columns, "component_id")
 
 
 # -- near copies by similarity: wide fingerprints
@@ -274,8 +260,26 @@ def _components(fp: DataFrame, distinct: DataFrame, edges: DataFrame, tmp: Scrat
 WIDE = 16
 _ODD = np.random.default_rng(17).integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Each trie takes TRIE_BITS of the wide fingerprint, drawn anew: the top ones free of errors, the others with a budget.
-TRIES, TRIE_BITS, TRIE_TOP, TRIE_ERRORS = 40, 128, 12, 30
-_DRAWN = np.stack([np.random.default_rng(23 + k).permutation(64 * WIDE)[:TRIE_BITS] for k in range(TRIES)])
+TRIE_BITS, TRIE_ERRORS = 128, 30
+#: Share of bits that differ at similarity 0.8, and the share of such pairs that no trie's top may keep together.
+_DIFFER, _MISSED = 0.15, 0.0022
+#: Rows of a trie root, and bytes of shingle sets, that a task holds at once (two such blocks at most).
+ROOT_ROWS, FAMILY_BYTES = 1 << 14, 32 << 20
+
+
+def tries_for(texts: int) -> tuple[int, int]:
+    """Error-free bits on top of each trie and the number of tries.
+
+    Roots hold a few thousand texts whatever the size of the table; more bits on
+    top need more tries for the same recall.  From a million texts on, 12 bits grow.
+    """
+    top = max(12, (texts - 1).bit_length() - 8)
+    return top, math.ceil(math.log(_MISSED) / math.log1p(-((1 - _DIFFER) ** top)))
+
+
+def _drawn(tries: int) -> np.ndarray:
+    """The bits of each trie, by a rule: tries of a smaller table are the first ones of a larger one's."""
+    return np.stack([np.random.default_rng(23 + k).permutation(64 * WIDE)[:TRIE_BITS] for k in range(tries)])
 
 
 def wide_fingerprint(hs: np.ndarray) -> bytes:
@@ -290,10 +294,10 @@ def wide_fingerprint(hs: np.ndarray) -> bytes:
     return out.astype("<u8").tobytes()
 
 
-def _tries(wides: pa.Array) -> np.ndarray:
+def _tries(wides: pa.Array, drawn: np.ndarray) -> np.ndarray:
     """The bits of each trie of each wide fingerprint, as two words of 64."""
     bits = np.unpackbits(np.frombuffer(b"".join(w.as_py() for w in wides), np.uint8).reshape(len(wides), -1), axis=1)
-    return np.packbits(bits[:, _DRAWN], axis=2).view(">u8").astype(np.uint64)
+    return np.packbits(bits[:, drawn], axis=2).view(">u8").astype(np.uint64)
 
 
 def near_groups(x: np.ndarray, errors: int) -> list[np.ndarray]:
@@ -314,15 +318,17 @@ def near_groups(x: np.ndarray, errors: int) -> list[np.ndarray]:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp, component_id: groups of texts whose shingle sets have at least that Jaccard similarity.
+    """doc_id, fp, key (xxhash64 of the text), component_id: groups of texts whose shingle sets have at least that Jaccard similarity.
 
     64 bits are too few for such a similarity: at 0.8 a tenth to a fifth of the
-    bits differ.  So 1024 bits are voted on, and 40 tries of 128 of them each are
-    joined with themselves: 12 bits on top without error, 30 errors below, where
-    all pairs of a root are held against each other.  These links only say which
-    texts to compare: in each of their components, all pairs are compared by their
-    whole shingle sets.  Texts without words are no copies of anything: each is a
-    component of its own id.
+    bits differ.  So 1024 bits are voted on, and 40 tries (more on larger tables,
+    see ``tries_for``) of 128 of them each are joined with themselves: bits on top
+    without error, 30 errors below, where all pairs of a root are held against
+    each other.  These links only say which texts to compare: in each of their
+    components, texts are compared by their whole shingle sets, every two of them
+    unless links of that similarity already connect them.  Large roots and large
+    components are cut into blocks.  Texts without words are no copies of anything:
+    each is a component of its own id, with fp 0.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "copies")
@@ -330,68 +336,73 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = []
+            wide, size = [], []
             for t in b.column(2):
-                hs = shingle_hashes(t.as_py(), words)
+                hs = np.unique(shingle_hashes(t.as_py(), words))
                 wide.append(wide_fingerprint(hs) if len(hs) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wide, pa.binary())], ["doc_id", "key", "wide"])
+                size.append(len(hs))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wide, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "key", "wide", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).alias("text")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), text).mapInArrow(run, f"doc_id {kind}, key long, wide binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), text).mapInArrow(run, f"doc_id {kind}, key long, wide binary, n long")
     made = tmp.write(rows.withColumn("fp", F.xxhash64("wide")), "made")
-    blank = made.where("wide is null").select("doc_id", F.lit(0).cast("long").alias("fp"), F.col("doc_id").alias("component_id"))
+    blank = made.where("wide is null").select("doc_id", F.lit(0).cast("long").alias("fp"), "key", F.col("doc_id").alias("component_id"))
     made = made.where("wide is not null")
-    distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("wide", "key")).alias("f"))  # a null id is no minimum
-    distinct = tmp.write(distinct.select("fp", "least", "f.wide", "f.key"), "distinct")
+    distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("wide", "key", "n")).alias("f"))  # a null id is no minimum
+    distinct = tmp.write(distinct.select("fp", "least", "f.wide", "f.key", "f.n"), "distinct")
+    top, tries = tries_for(max(2, distinct.count()))
+    drawn = _drawn(tries)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            t = _tries(b.column(1))
-            root = (np.arange(TRIES) << TRIE_TOP) + (t[:, :, 0] >> np.uint64(64 - TRIE_TOP)).astype(np.int64)
-            fp = np.repeat(b.column(0).to_numpy(zero_copy_only=False), TRIES)
+            t = _tries(b.column(1), drawn)
+            root = (np.arange(tries) << top) + (t[:, :, 0] >> np.uint64(64 - top)).astype(np.int64)
+            fp = np.repeat(b.column(0).to_numpy(zero_copy_only=False), tries)
             high, low = (pa.array(t[:, :, k].ravel().view(np.int64)) for k in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(root.ravel()), high, low, pa.array(fp)], ["root", "high", "low", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(root.ravel()), high, low, pa.array(fp)], ["grp", "high", "low", "fp"])
 
-    grown = distinct.select("fp", "wide").mapInArrow(slices, "root long, high long, low long, fp long")
-    grown = grown.repartition("root").sortWithinPartitions("root")
-    near = tmp.write(grown.mapInArrow(_near, "src long, dst long").distinct(), "near")
-    edges = tmp.write(_compared(docs.select(F.xxhash64(text_col).alias("key"), text), distinct, near, tmp, words, similarity), "edges")
-    return _components(made.select("doc_id", "fp"), distinct, edges, tmp).unionByName(blank)
+    grown = distinct.select("fp", "wide").mapInArrow(slices, "grp long, high long, low long, fp long").withColumn("weight", F.lit(1))
+    near = linked(grown, tmp, "near", ROOT_ROWS, lambda part: part.select("grp", "block", "high", "low", "fp"), _near).distinct()
+    edges = _compared(docs.select(F.xxhash64(text_col).alias("key"), text), distinct, near, tmp, words, similarity)
+    return _components(made.select("doc_id", "fp", "key"), distinct, edges, tmp).unionByName(blank)
 
 
 def _compared(texts: DataFrame, distinct: DataFrame, near: DataFrame, tmp: Scratch, words: int, least: float) -> DataFrame:
     """src, dst: links of similarity ``least`` within each component of ``near``, from whole shingle sets; texts are (key, text)."""
-    family = connected(near, tmp, "family").select(F.col("node").alias("fp"), F.col("root").alias("family"))
-    family = tmp.write(family.join(distinct.select("fp", "key"), "fp"), "families")
+    family = connected(near, tmp, "family").select(F.col("node").alias("fp"), F.col("root").alias("grp"))
+    weight = (F.col("n") * 8 + FAMILY_BYTES // 4096).alias("weight")
+    family = tmp.write(family.join(distinct.select("fp", "key", "n"), "fp").select("grp", "fp", "key", weight), "families")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)).astype("<u8").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
 
-    sets = texts.join(family.select("key"), "key", "left_semi").select("key", "text").mapInArrow(run, "key long, shingles binary")
-    sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))  # of equal texts, one
-    rows = family.join(sets, "key").select("family", "fp", "shingles").repartition("family").sortWithinPartitions("family")
-    return rows.mapInArrow(lambda it: _alike(it, least), "src long, dst long")
+    def load(part: DataFrame) -> DataFrame:
+        sets = texts.join(part.select("key"), "key", "left_semi").select("key", "text").mapInArrow(run, "key long, shingles binary")
+        sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))  # of equal texts, one
+        return part.join(sets, "key").select("grp", "block", "fp", "shingles")
+
+    return linked(family, tmp, "alike", FAMILY_BYTES, load, lambda it: _alike(it, least))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The other columns of each run of equal values in the first one, which is in order."""
+    """The other columns of each run of equal values in the first two, which are in order."""
     held, last = [], None
     for b in batches:
         if not b.num_rows:
             continue
-        key, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        grp, block, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        cuts = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(grp)]
         for lo, hi in zip(cuts, cuts[1:]):
-            if held and key[lo] != last:
+            if held and (grp[lo], block[lo]) != last:
                 yield [np.concatenate(c) for c in zip(*held)]
                 held = []
             held.append([c[lo:hi] for c in rest])
-            last = key[lo]
+            last = grp[lo], block[lo]
     if held:
         yield [np.concatenate(c) for c in zip(*held)]
 
