@@ -238,20 +238,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tmp = Scratch(docs.sparkSession, "simhash")
     fp = tmp.write(fingerprints(docs, id_col, text_col, words), "fp")
     distinct = tmp.write(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    return _components(fp, distinct, tmp.write(links(distinct, tmp, radius), "edges"), tmp)
+    return _components(fp, distinct, tmp.write(links(distinct, tmp, radius), "edges"), tmp).drop("root")
 
 
 def _components(fp: DataFrame, distinct: DataFrame, edges: DataFrame, tmp: Scratch) -> DataFrame:
-    """doc_id, fp, component_id of rows (doc_id, fp), from links between distinct fingerprints (fp, least)."""
+    """The rows ``fp`` (doc_id, fp, ...) with root (a component's least fingerprint) and component_id, from links between distinct fingerprints (fp, least)."""
     comp = connected(edges, tmp)  # (fingerprint, root) only for fingerprints with a link to another one
     named = distinct.select("fp", "least").join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left")
     linked = named.where("root is not null")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(least, "root").select("fp", "component_id").unionByName(
-        named.where("root is null").select("fp", F.col("least").alias("component_id"))
+    by_fp = linked.join(least, "root").select("fp", "root", "component_id").unionByName(
+        named.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     )
     by_fp = tmp.write(by_fp, "by_fp")
-    return fp.join(by_fp, "fp").select(*fp.columns, "component_id")
+    return fp.join(by_fp, "fp").select(*fp.columns, "root", "component_id")
 
 
 # -- near copies by similarity: wide fingerprints
@@ -318,7 +318,7 @@ def near_groups(x: np.ndarray, errors: int) -> list[np.ndarray]:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp, key (xxhash64 of the text), component_id: groups of texts whose shingle sets have at least that Jaccard similarity.
+    """doc_id, fp, key (xxhash64 of the text), root, component_id: groups (of one root) of texts whose shingle sets have at least that Jaccard similarity.
 
     64 bits are too few for such a similarity: at 0.8 a tenth to a fifth of the
     bits differ.  So 1024 bits are voted on, and 40 tries (more on larger tables,
@@ -347,7 +347,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).alias("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), text).mapInArrow(run, f"doc_id {kind}, key long, wide binary, n long")
     made = tmp.write(rows.withColumn("fp", F.xxhash64("wide")), "made")
-    blank = made.where("wide is null").select("doc_id", F.lit(0).cast("long").alias("fp"), "key", F.col("doc_id").alias("component_id"))
+    blank = made.where("wide is null").select("doc_id", F.lit(0).cast("long").alias("fp"), "key", F.lit(0).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     made = made.where("wide is not null")
     distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("wide", "key", "n")).alias("f"))  # a null id is no minimum
     distinct = tmp.write(distinct.select("fp", "least", "f.wide", "f.key", "f.n"), "distinct")
