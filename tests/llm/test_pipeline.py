@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tarnlake.llm import pii
@@ -45,6 +46,17 @@ def test_near_duplicates_leave_one_of_equal_texts(stages):
     assert len(left) > 0.85 * len(texts)
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark, docs_of):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (5, a + " end"), (7, a), (None, a), (8, b), (8, b), (9, c), (None, None), (None, None), (3, ""), (3, ""), (None, "x y z"), (8, c)]
+    docs = docs_of(rows).withColumn("stays", F.lit(1)).withColumn("key", F.lit("k"))
+    out = cp.near_duplicates(spark, docs, D)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, (r.text or "")[:1]) for r in out.collect())
+    assert got == sorted([(5, "a"), (8, "b"), (8, "c"), (0, ""), (0, ""), (3, ""), (3, ""), (0, "x")])
+    assert cp.near_duplicates(spark, docs.limit(0), D).count() == 0
+
+
 def test_decontamination_takes_items_out(spark, stages):
     docs, made = stages["decontamination"]
     norm = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
