@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next one's docs; all but the last return the columns of
 documents.  Null and empty texts, repeated rows and empty tables pass through as
-the operators define; rows with a null id are kept where a stage filters by id.
+the operators define; a row with a null id is kept where a stage filters by id alone.
 """
 
 from __future__ import annotations
@@ -27,10 +27,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of texts that are alike (five-word shingles, Jaccard 0.8); texts without words are no copies."""
-    groups = simhash_trie.near_copies(docs, words=5, similarity=0.8)
-    copies = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+    """Keeps one row of each group of texts that are alike (five-word shingles, Jaccard 0.8): the one with the smallest id.
+
+    Texts without words are no copies of anything.
+    """
+    rows = simhash_trie.near_copies(docs, words=5, similarity=0.8).where("fp <> 0").groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    rows = rows.join(rows.groupBy("root").agg(F.min(own).alias("first")), "root")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    rows = rows.withColumn("__stays", stays).where("not __stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__stays")
+    told = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    repeated = told.where("__stays").dropDuplicates(["__id", "__key"])  # rows that recur whole; nothing else is shuffled for it
+    return told.where("__stays is null").unionByName(repeated).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
