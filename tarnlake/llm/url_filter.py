@@ -3,10 +3,12 @@
 Host, path and rules are SQL expressions.  The trees see the URL's text alone:
 lengths, depth, digit and letter ratios, entropy, parameters, dashes, and two
 suffix statistics, the smoothed block rates of the host's last label and of the
-path's extension among labelled URLs.  A URL's label is the verdict of its rule,
-else block or allow where its host holds a word of the seed lists, else allow as
-background (as in learning from positive and unlabelled rows); a bounded sample
-of them, ``train_rows`` by hash order, fits the trees on the driver.
+path's extension among labelled URLs.  They learn from URLs that no rule decides:
+block or allow where the host holds a word of the seed lists, else allow as
+background (as in learning from positive and unlabelled rows), or from a column of
+labels.  No feature sees a word, so hosts with words of no list are judged by their
+shape.  Features are made on the executors; those of a bounded sample,
+``train_rows`` by hash order, fit the trees on the driver.
 
 Edge cases: null URLs and URLs without ``://`` have empty host and path, match no
 rule and get the trees' verdict on an empty text; without two classes of labels
@@ -22,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,65 +174,76 @@ class Trees:
         return 1 / (1 + np.exp(-f))
 
 
+def _place(suffix: str) -> int:
+    """A suffix of any length as 63 bits."""
+    return xxhash.xxh64_intdigest(suffix.encode("utf-8", "surrogatepass")) >> 1
+
+
 @dataclass
 class Model:
     trees: Trees | None
-    rates: tuple[dict, dict]
+    rates: tuple[dict[int, float], dict[int, float]]
     rate: float
 
-    def features(self, urls, hosts, paths) -> np.ndarray:
-        rows = []
-        for u, h, p in zip(urls, hosts, paths):
-            ends = _suffixes(h, p)
-            rows.append(lexical(u, h, p) + [r.get(e, self.rate) for r, e in zip(self.rates, ends)])
-        return np.array(rows, np.float64).reshape(len(rows), -1)
-
-    def score(self, urls, hosts, paths) -> np.ndarray:
+    def score(self, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Probability of block."""
-        if self.trees is None:
-            return np.zeros(len(urls))
-        return self.trees.score(self.features(urls, hosts, paths))
+        return np.zeros(len(x)) if self.trees is None else self.trees.score(self._all(x, ends))
+
+    def _all(self, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        known = [[r.get(e, self.rate) for e in ends[:, k].tolist()] for k, r in enumerate(self.rates)]
+        return np.column_stack([x, *known])
 
 
-def train(labelled: pd.DataFrame, smooth: float = 20.0) -> Model:
-    """``labelled`` has url, host, path, label (block or allow)."""
-    y = (labelled["label"] == "block").to_numpy(np.float64)
-    if len(set(y)) < 2:
+def features(urls, hosts, paths) -> tuple[np.ndarray, np.ndarray]:
+    """Lexical features and places of the two suffixes of each URL."""
+    x = np.array([lexical(u, h, p) for u, h, p in zip(urls, hosts, paths)], np.float64).reshape(len(urls), -1)
+    return x, np.array([list(map(_place, _suffixes(h, p))) for h, p in zip(hosts, paths)], np.int64).reshape(len(urls), 2)
+
+
+def train(x: np.ndarray, ends: np.ndarray, y: np.ndarray, smooth: float = 20.0) -> Model:
+    """Fit on features, suffix places and labels (1 is block)."""
+    if len(set(y.tolist())) < 2:
         return Model(None, ({}, {}), 0.0)
-    rate = float(y.mean())
-    ends = [_suffixes(h, p) for h, p in zip(labelled["host"], labelled["path"])]
-    rates = []
+    rate, rates = float(y.mean()), []
     for k in range(2):
-        sums: dict = {}
-        for e, v in zip(ends, y):
-            a, n = sums.get(e[k], (0.0, 0))
-            sums[e[k]] = (a + v, n + 1)
-        rates.append({e: (a + smooth * rate) / (n + smooth) for e, (a, n) in sums.items()})
+        own, at = np.unique(ends[:, k], return_inverse=True)
+        n, a = np.bincount(at), np.bincount(at, y)
+        rates.append(dict(zip(own.tolist(), ((a + smooth * rate) / (n + smooth)).tolist())))
     model = Model(Trees(), tuple(rates), rate)
-    model.trees.fit(model.features(labelled["url"], labelled["host"], labelled["path"]), y)
+    model.trees.fit(model._all(x, ends), y)
     return model
 
 
 def judge(
-    pages: DataFrame, rules: list[Rule], train_rows: int = 20_000, threshold: float = 0.5,
-    block_words: tuple[str, ...] = BLOCK_WORDS, allow_words: tuple[str, ...] = ALLOW_WORDS, id_col: str = "page_id", url_col: str = "url",
+    pages: DataFrame, rules: list[Rule], train_rows: int = 20_000, threshold: float = 0.5, block_words: tuple[str, ...] = BLOCK_WORDS,
+    allow_words: tuple[str, ...] = ALLOW_WORDS, label_col: str | None = None, id_col: str = "page_id", url_col: str = "url",
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (the trees' probability of block)."""
+    """page_id, host, path, rule, verdict, score (the trees' probability of block); with ``label_col`` (block, allow or null) the trees learn from it alone."""
     spark = pages.sparkSession
     small_batches(spark)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    rows = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    label = F.lit(None).cast("string") if label_col is None else F.col(label_col)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), label.alias("label"))
+    rows = rows.select("page_id", "url", "label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    label = F.coalesce("ruled", seed_of(F.col("host"), block_words, allow_words), F.lit("allow"))
-    known = rows.select("page_id", "url", "host", "path", label.alias("label")).where("url is not null")
-    sample = bounded_sample(known, train_rows, "url", "page_id").toPandas()
-    model = train(sample)
+    label = F.col("label")
+    if label_col is None:
+        label = F.coalesce(seed_of(F.col("host"), block_words, allow_words), F.lit("allow"))
+    known = rows.where("url is not null and ruled is null").select("page_id", "url", "host", "path", (label == "block").cast("double").alias("y")).where("y is not null")
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, ends = features(b["url"].to_list(), b["host"].to_list(), b["path"].to_list())
+            yield pd.DataFrame({"x": list(x), "ends": list(ends), "y": b["y"], "h": b["h"]})
+
+    known = known.withColumn("h", F.xxhash64("url", "page_id")).mapInPandas(made, "x array<double>, ends array<long>, y double, h long")
+    got = bounded_sample(known, train_rows, "h", "y").collect()  # numbers only, of a bounded sample
+    model = train(*(np.array([r[k] for r in got]) for k in ("x", "ends", "y")))
 
     @F.pandas_udf("double")
     def block(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for u, h, p in parts:
-            yield pd.Series(model.score(u.to_list(), h.to_list(), p.to_list()))
+            yield pd.Series(model.score(*features(u.to_list(), h.to_list(), p.to_list())))
 
     scored = rows.withColumn("score", block("url", "host", "path"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")

@@ -1,6 +1,8 @@
 import re
+import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tarnlake.llm import queries, url_filter as uf
 
@@ -48,6 +50,33 @@ def test_query(spark):
     assert np.mean([r.verdict == "allow" for r in fair]) > 0.9
 
 
+def test_hosts_held_out_of_training_are_judged_by_shape(spark):
+    """A spam word's hosts, and a quarter of the other ones, give no label; most of the former are blocked all the same, the latter are not."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("host", uf.host_of(F.col("url")))
+    spam = F.col("host").rlike("casino|bets|pills")
+    apart = ~spam & (F.crc32(F.col("host").cast("binary")) % 4 == 0)
+    seen, found = [], []
+    for word in ("casino", "bets", "pills"):
+        told = F.when(apart | F.col("host").contains(word), None).when(spam, "block").otherwise("allow")
+        rows = uf.judge(pages.withColumn("told", told), queries.URL_RULES, label_col="told").where("rule is null").collect()
+        found += [r.verdict == "block" for r in rows if word in r.host]
+        seen += [r.verdict == "allow" for r in rows if not re.search("casino|bets|pills", r.host) and zlib.crc32(r.host.encode()) % 4 == 0]
+    assert len(found) > 30 and np.mean(found) > 0.6 and len(seen) > 300 and np.mean(seen) > 0.9
+
+
+def test_a_column_of_labels(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        bad = bool(i % 3 == 0)
+        host = "".join(rng.choice(list("abcdefgh"), 6)) + ("-" + str(rng.integers(100, 999)) if bad else "") + ".example.com"
+        rows.append((i, f"http://{host}/{rng.integers(0, 99)}", ("block" if bad else "allow") if i % 2 else None, bad))
+    df = spark.createDataFrame(rows * 2, "page_id long, url string, told string, bad boolean")  # repeated rows
+    got = {r.page_id: r.verdict for r in uf.judge(df, [], label_col="told").collect()}
+    assert np.mean([(got[i] == "block") == bad for i, _, told, bad in rows if told is None]) > 0.95
+    assert {r.verdict for r in uf.judge(df.where("not bad"), [], label_col="told").collect()} == {"allow"}
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
