@@ -131,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["doc_id", "y", "terms"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = few.mapInArrow(run, f"doc_id {kind}, y int, terms binary").collect()  # places only, of a bounded sample
+    made = few.mapInArrow(run, f"doc_id {kind}, y int, terms binary").groupBy("doc_id").agg(F.min(F.struct("y", "terms")).alias("r"))
+    got = made.select("doc_id", "r.*").collect()  # places only, of a bounded sample: one text for each id
     got.sort(key=lambda r: (r.doc_id, r.terms))
     rows, y = [np.frombuffer(r.terms, "<i4") for r in got], np.array([r.y for r in got], float)
     if len(set(y)) < 2:
