@@ -121,6 +121,7 @@ def train(docs: DataFrame, learn: Column, train_rows: int = 20_000, id_col: str
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     ids = bounded_sample(rows.select(F.col(id_col).alias("id")), train_rows, "id").distinct()
     few = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "id", "left_semi")
+    few = few.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r")).select("id", "r.*")  # one text for each id, however often it repeats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
@@ -136,7 +137,7 @@ def train(docs: DataFrame, learn: Column, train_rows: int = 20_000, id_col: str
 
     total: dict[str, np.ndarray] = {}
     # Few tasks, so that few sums come back.
-    for r in few.select("text", "lang").repartition(16).mapInArrow(run, "lang string, counts binary").collect():
+    for r in few.select("text", "lang").coalesce(16).mapInArrow(run, "lang string, counts binary").collect():
         x = np.frombuffer(r.counts, "<i8")
         total[r.lang] = total[r.lang] + x if r.lang in total else x
     if not total:
