@@ -186,7 +186,7 @@ def tree_sum(parts: DataFrame, kind: np.dtype, fan: int = 8) -> np.ndarray | Non
     n = parts.rdd.getNumPartitions()
     while n > fan:
         n = -(-n // fan)
-        parts = parts.repartition(n).mapInArrow(add, "x binary")
+        parts = parts.repartitionById(n, F.floor(F.spark_partition_id() / fan).cast("int")).mapInArrow(add, "x binary")  # each task adds ``fan`` arrays
     total = None
     for r in parts.collect():
         x = np.frombuffer(r.x, kind)
