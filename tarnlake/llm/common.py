@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,19 @@ class Scratch:
         remove(self.spark, self.root)
 
 
+@contextmanager
+def scratch_scope(*kept: Scratch) -> Iterator[None]:
+    """Scratch tables made within go at its end, but for those of ``kept``."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for spark, path in _MADE[before:]:
+            if all(path != k.root for k in kept):
+                remove(spark, path)
+                _MADE.remove((spark, path))
+
+
 def held_out(doc_id, modulus: int, rest: int):
     """True where crc32 of the id's decimal text leaves ``rest``; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
