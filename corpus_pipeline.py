@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import decontaminate, langid, packing, pii, simhash_trie
-from tarnlake.llm.common import Scratch, table
+from tarnlake.llm.common import Scratch, scratch_scope, table
 
 KEY = b"tarnlake public example key"
 
@@ -78,11 +78,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     tmp = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        docs = tmp.write(out, name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch_scope(tmp):  # what the operators kept for this stage goes once its rows are written
+            docs = tmp.write(stage(spark, docs, sf_dir), name)
         if k:
             tmp.drop(STAGES[k - 1][0])
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
