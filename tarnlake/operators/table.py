@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable
 from dataclasses import replace as changed
@@ -22,6 +23,9 @@ _PART = "_part_"
 BROADCAST_DELETES = 1_000_000
 #: Files of one scan up to which their sequence numbers are broadcast.
 BROADCAST_FILES = 100_000
+#: Size at which a data file ends, unless the table says otherwise.
+TARGET_BYTES = 512 << 20
+_TIMES = "spark.sql.parquet.outputTimestampType"
 
 
 def _new_id() -> int:
@@ -71,14 +75,15 @@ class LakeTable:
                     out.append(f)
         return out
 
-    def df(self, predicate: Predicate | None = None, columns: list[str] | None = None, ref: str | None = None, snapshot_id: int | None = None, as_of_ms: int | None = None, after_snapshot: int | None = None, limit: int | None = None) -> DataFrame:
+    def df(self, predicate: Predicate | None = None, columns: list[str] | None = None, ref: str | None = None, snapshot_id: int | None = None, as_of_ms: int | None = None, after_snapshot: int | None = None, limit: int | None = None, meta: TableMetadata | None = None) -> DataFrame:
         """The rows of a snapshot, branch or tag, or of a range of snapshots.
 
         The predicate prunes manifests and files, and filters rows above the
         deletes; Parquet gets it too.  ``after_snapshot`` reads what was appended
-        since that snapshot.  A limit stays above the deletes.
+        since that snapshot.  A limit stays above the deletes.  ``meta`` is a state
+        of the table read before; else the current one is read.
         """
-        meta = self.metadata
+        meta = meta or self.metadata
         if as_of_ms is not None:
             s = meta.as_of(as_of_ms)
             if s is None:
@@ -159,9 +164,12 @@ class LakeTable:
 
     def _write(self, df: DataFrame, schema: T.StructType, meta: TableMetadata, content: int, equality: tuple = ()) -> list[M.DataFile]:
         """New files in a fresh folder; a commit that fails leaves only orphans."""
-        spec = meta.spec
-        base = meta.properties.get("write.data.path", f"{meta.location}/data")
-        folder = f"{base}/{uuid.uuid4().hex}"
+        spec, props, name = meta.spec, meta.properties, uuid.uuid4().hex
+        base = props.get("write.data.path", f"{meta.location}/data")
+        if props.get("write.object-storage.enabled", "").lower() == "true":  # spread commits over prefixes of an object store
+            digest = hashlib.blake2b(name.encode(), digest_size=4).hexdigest()
+            base = f"{base}/{digest[:2]}/{digest[2:4]}/{digest[4:]}"
+        folder = f"{base}/{name}"
         self.spark.conf.set("spark.sql.parquet.fieldId.write.enabled", "true")
         source = {f.name: f.dataType for f in meta.schema().fields}
         present = all(f.source in df.columns for f in spec)
@@ -178,14 +186,34 @@ class LakeTable:
             writer = df.write.partitionBy(*names)
         else:
             spec, writer = (), df.write
-        rows = int(meta.properties.get("write.max-records-per-file", 0))
         order = meta.sort_orders.get(meta.default_sort_order, ())
         if order and not spec:
             writer = df.sortWithinPartitions(*[F.col(c).desc() if d == "desc" else F.col(c).asc() for c, d in order]).write
-        writer.options(compression="zstd", maxRecordsPerFile=rows).parquet(folder)
+        options = {"compression": props.get("write.parquet.compression-codec", "zstd"), "maxRecordsPerFile": self._rows_per_file(df.schema, meta)}
+        if "write.parquet.compression-level" in props:
+            options["parquet.compression.codec.zstd.level"] = props["write.parquet.compression-level"]
+        if "write.parquet.row-group-size-bytes" in props:
+            options["parquet.block.size"] = props["write.parquet.row-group-size-bytes"]
+        kept = self.spark.conf.get(_TIMES)
+        self.spark.conf.set(_TIMES, "TIMESTAMP_MICROS")  # the older form has no statistics
+        try:
+            writer.options(**options).parquet(folder)
+        finally:
+            self.spark.conf.set(_TIMES, kept)
         found = M.harvest(self.spark, folder, schema, content, meta.default_spec, spec, meta.schema(), _PART, equality)
         return found
 
+    def _rows_per_file(self, schema: T.StructType, meta: TableMetadata) -> int:
+        """Where a file ends: at a number of rows, or at a target size by what a row takes in the table's files (or its types, at first)."""
+        fixed = int(meta.properties.get("write.max-records-per-file", 0))
+        if fixed:
+            return fixed
+        target = int(meta.properties.get("write.target-file-size-bytes", TARGET_BYTES))
+        held = meta.snapshot(self.branch)
+        rows, size = (sum(m.get(k, 0) for m in held.manifests) for k in ("rows", "bytes")) if held else (0, 0)
+        each = size / rows if rows and size else sum(_width(f.dataType) for f in schema.fields)
+        return max(1, int(target / max(each, 1e-3)))
+
     def _conform(self, df: DataFrame, meta: TableMetadata) -> DataFrame:
         """Names and types must match; ids are put on; a required column may hold no null."""
         schema = meta.schema()
@@ -202,16 +230,18 @@ class LakeTable:
             cols.append(c.alias(f.name, metadata={FIELD_ID: f.metadata[FIELD_ID]}))
         return df.select(*cols)
 
-    def append(self, df: DataFrame, deletes: DataFrame | None = None, on: Iterable[str] = (), summary: dict | None = None, retries: int = 3) -> int:
+    def append(self, df: DataFrame, deletes: DataFrame | None = None, on: Iterable[str] = (), summary: dict | None = None, retries: int = 3, base: TableMetadata | None = None, properties: dict | None = None) -> int:
         """Add rows, and with ``deletes`` equality deletes on columns ``on``, in one snapshot; returns the number of rows added.
 
         Deletes of a snapshot concern older rows only, so its own rows stay.
-        A pure append that loses a race starts over, one with deletes does not.
+        A pure append that loses a race starts over, one with deletes does not, nor
+        one that names the state ``base`` it was made from: it lands on that or raises
+        CommitConflict.  ``properties`` are set in the same commit.
         """
-        meta = self.metadata
+        meta = base or self.metadata
         added = self._write(self._conform(df, meta), meta.schema(), meta, M.DATA)
         gone = self._delete_files(meta, deletes, tuple(on)) if deletes is not None else []
-        self._commit(meta, added, gone, "append" if not gone else "overwrite", summary, retries if not gone else 0)
+        self._commit(meta, added, gone, "append" if not gone else "overwrite", summary, retries if not gone and base is None else 0, properties)
         return sum(f.rows for f in added)
 
     def _delete_files(self, meta: TableMetadata, deletes: DataFrame, on: tuple) -> list[M.DataFile]:
@@ -228,14 +258,14 @@ class LakeTable:
             self._commit(meta, [], gone, "delete", None, 0)
         return sum(f.rows for f in gone)
 
-    def replace(self, df: DataFrame, summary: dict | None = None) -> int:
+    def replace(self, df: DataFrame, summary: dict | None = None, base: TableMetadata | None = None) -> int:
         """Put new rows in place of all; older snapshots stay readable."""
-        meta = self.metadata
+        meta = base or self.metadata
         added = self._write(self._conform(df, meta), meta.schema(), meta, M.DATA)
         self._commit(meta, added, [], "replace", summary, 0)
         return sum(f.rows for f in added)
 
-    def _commit(self, base: TableMetadata, added: list[M.DataFile], gone: list[M.DataFile], operation: str, summary: dict | None, retries: int) -> None:
+    def _commit(self, base: TableMetadata, added: list[M.DataFile], gone: list[M.DataFile], operation: str, summary: dict | None, retries: int, properties: dict | None = None) -> None:
         ref = self.branch or MAIN
         seen = base.refs.get(ref)
 
@@ -255,7 +285,7 @@ class LakeTable:
             new = [self._manifest(meta, part) for part in (stamp(added), stamp(gone)) if part]
             kept = self._gather(meta, kept, new)
             s = Snapshot(sid, parent.snapshot_id if parent else None, seq, now_ms(), operation, tuple(kept), meta.current_schema, dict(summary or {}))
-            return meta.with_snapshot(s, ref)
+            return changed(meta.with_snapshot(s, ref), properties={**meta.properties, **(properties or {})})
 
         self.catalog.commit(self.identifier, change, retries, requires)
 
@@ -389,6 +419,17 @@ class LakeTable:
         return self.replace(self.df())
 
 
+def _width(t: T.DataType) -> int:
+    """Bytes of a value, as planners guess them."""
+    if isinstance(t, T.StructType):
+        return sum(_width(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return 8 * _width(t.elementType)
+    if isinstance(t, T.MapType):
+        return 8 * (_width(t.keyType) + _width(t.valueType))
+    return {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4, T.DecimalType: 16, T.StringType: 20, T.BinaryType: 100}.get(type(t), 8)
+
+
 def _tuple(f: M.DataFile) -> str:
     """A file's partition as text; empty without one."""
     return repr((f.spec_id, f.partition)) if f.partition else ""

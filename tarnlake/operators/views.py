@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.operators.table import LakeTable
-from tarnlake.plans import sqltext
-from tarnlake.plans.metadata import MAIN, TableMetadata, ViewMetadata
+from tarnlake.plans import pushdown, sqltext
+from tarnlake.plans.metadata import MAIN, CommitConflict, TableMetadata, ViewMetadata
 from tarnlake.sources.catalog import Catalog
 
 STATE = "refresh-state"
@@ -114,24 +114,52 @@ class Resolver:
         self._views = []
 
     def query(self, sql: str) -> DataFrame:
-        """Plan a SELECT over lake names; other names are Spark's own."""
+        """Plan a SELECT over lake names; other names are Spark's own.
+
+        The query is planned twice: over empty relations, for the predicates that
+        Catalyst derives at each place, then over the files those leave.
+        """
         text = self.inline(sql, self.branch)
         found = sqltext.occurrences(self.spark, text)
-        bound: dict[str, str] = {}
-        names = []
-        for o in found:
-            got = self.lookup(o.name)
-            if got is None:
-                names.append(text[o.start : o.stop + 1][: sqltext._name_length(text[o.start : o.stop + 1])])
-                continue
-            if got[0] not in bound:
-                bound[got[0]] = self.temp(self.table(*got).df())
-            names.append(bound[got[0]])
+        got = [self.lookup(o.name) for o in found]
+        kept = [o for o, g in zip(found, got) if g is not None]
+        tables: dict[str, tuple] = {}
+        reads = []  # (table, its metadata, snapshot) for each place; one metadata for a name throughout
+        for o, g in zip(found, got):
+            if g is not None:
+                if g[0] not in tables:
+                    t = self.table(*g)
+                    tables[g[0]] = t, t.metadata
+                reads.append((*tables[g[0]], self._travel(o, tables[g[0]][1])))
         try:
-            return self.spark.sql(sqltext.rebind(text, found, names))
+            if not kept:
+                return self.spark.sql(text)
+            empty = []
+            for i, (t, meta, at) in enumerate(reads):
+                schema = meta.schema() if at is None else meta.schema(meta.snapshots[at])
+                empty.append(self.temp(pushdown.placeholder(self.spark, schema, i)))
+            needs = pushdown.derived(self.spark.sql(sqltext.rebind(text, kept, empty, True))._jdf.queryExecution().optimizedPlan())
+            names = [self.temp(t.df(needs.get(i), snapshot_id=at, meta=meta)) for i, (t, meta, at) in enumerate(reads)]
+            return self.spark.sql(sqltext.rebind(text, kept, names, True))
         finally:
             self.release()
 
+    def _travel(self, o: sqltext.Occurrence, meta: TableMetadata) -> int | None:
+        """The snapshot that VERSION or TIMESTAMP AS OF names; None for the current one."""
+        if o.version is not None:
+            if o.version in meta.refs:
+                return meta.refs[o.version].snapshot_id
+            if not o.version.isdigit() or int(o.version) not in meta.snapshots:
+                raise KeyError(f"{o.name} has no snapshot, branch or tag {o.version!r}")
+            return int(o.version)
+        if o.moment is not None:
+            ms = self.spark.sql(f"SELECT unix_millis(CAST({o.moment} AS TIMESTAMP))").first()[0]
+            s = meta.as_of(ms) if ms is not None else None
+            if s is None:
+                raise KeyError(f"{o.name} had no snapshot at {o.moment}")
+            return s.snapshot_id
+        return None
+
 
 def create_view(r: Resolver, name: str, sql: str, materialized: bool = False, replace: bool = False) -> None:
     full = r.full(name)
@@ -179,6 +207,7 @@ class Refresh:
             raise ValueError(f"{self.full} is not a materialized view")
         self.version = self.meta.version(r.branch)
         self.storage = LakeTable(r.catalog, self.version.storage_table, r.branch)
+        self.base = self.storage.metadata  # every read and the commit of this refresh are of this state
         self.sql = r.inline(self.version.sql, r.branch)
         self.places = sqltext.occurrences(r.spark, self.sql)
         self.sources: dict[str, Source] = {}
@@ -201,7 +230,7 @@ class Refresh:
 
     def _state(self) -> dict:
         """What the last refresh of this view version read; a branch without its own refresh starts from main's."""
-        s = self.storage.metadata.snapshot(self.r.branch)
+        s = self.base.snapshot(self.r.branch)
         kept = json.loads(s.summary.get(STATE, "{}")) if s else {}
         return kept.get("sources", {}) if kept.get("version") == self.version.version_id else {}
 
@@ -229,7 +258,7 @@ class Refresh:
             if self.state and shape.kind != "full" and all(s.seen and self._only_appends(s) for s in self.sources.values()):
                 self.incremental(shape)
                 return "incremental"
-            self.storage.replace(self._bound([s.table.df() for s in self._per_place()]), self._summary())
+            self.storage.replace(self._bound([s.table.df(snapshot_id=s.now) if s.now is not None else s.table.df().limit(0) for s in self._per_place()]), self._summary(), base=self.base)
             return "full"
         finally:
             self.r.release()
@@ -270,12 +299,12 @@ class Refresh:
         if delta is None:
             return
         if shape.kind == "rows":
-            self.storage.append(delta, summary=self._summary())
+            self.storage.append(delta, summary=self._summary(), base=self.base)
             return
         how = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
         cols = delta.columns
         delta = delta.groupBy(*[F.col(f"`{k}`") for k in shape.keys]).agg(*[how[f](F.col(f"`{c}`")).alias(c) for c, f in shape.merges])
-        stored = self.storage.df().select(*[F.col(f"`{c}`").alias(f"_s_{i}") for i, c in enumerate(cols)], F.lit(True).alias("_stored"))
+        stored = self.storage.df(meta=self.base).select(*[F.col(f"`{c}`").alias(f"_s_{i}") for i, c in enumerate(cols)], F.lit(True).alias("_stored"))
         at = {c: i for i, c in enumerate(cols)}
         same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_s_{at[k]}")) for k in shape.keys])
         types = {f.name: f.dataType for f in self.storage.metadata.schema().fields}
@@ -287,11 +316,20 @@ class Refresh:
         merged = delta.join(stored, same, "left").select(*out, F.coalesce("_stored", F.lit(False)).alias("_stored")).persist()
         try:
             rows = merged.select(*[F.col(f"`{c}`") for c in cols])
-            self.storage.append(rows, deletes=merged.where("_stored").select(*[F.col(f"`{k}`") for k in shape.keys]), on=shape.keys, summary=self._summary())
+            self.storage.append(rows, deletes=merged.where("_stored").select(*[F.col(f"`{k}`") for k in shape.keys]), on=shape.keys, summary=self._summary(), base=self.base)
         finally:
             merged.unpersist()
 
 
-def refresh(r: Resolver, name: str) -> str:
-    """Bring a materialized view up to date, synchronously; says how."""
-    return Refresh(r, name).run()
+def refresh(r: Resolver, name: str, retries: int = 5) -> str:
+    """Bring a materialized view up to date, synchronously; says how.
+
+    A refresh lands only on the state it read; one that loses to another starts over from what that one left.
+    """
+    for attempt in range(retries + 1):
+        try:
+            return Refresh(r, name).run()
+        except CommitConflict:
+            if attempt == retries:
+                raise
+    raise AssertionError

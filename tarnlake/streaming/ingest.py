@@ -5,24 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
+from tarnlake.operators.table import LakeTable
+from tarnlake.plans.metadata import CommitConflict
 from tarnlake.sources.session import LakeSession
 
 BATCH = "stream-batch"
 
 
+def append_batch(t: LakeTable, batch: DataFrame, stream_id: str, number: int, retries: int = 10) -> bool:
+    """Add one micro-batch unless the table has it; the table's mark and the rows are one commit on the state that was read."""
+    mark = f"stream.{stream_id}.batch"
+    for attempt in range(retries + 1):
+        base = t.metadata
+        if int(base.properties.get(mark, -1)) >= number:
+            return False
+        try:
+            t.append(batch, summary={BATCH: f"{stream_id}:{number}"}, base=base, properties={mark: str(number)})
+            return True
+        except CommitConflict:
+            if attempt == retries:
+                raise
+    raise AssertionError
+
+
 def append_stream(session: LakeSession, stream: DataFrame, table: str, checkpoint: str, refresh: tuple[str, ...] = (), stream_id: str = "stream") -> DataStreamWriter:
     """A writer that appends each micro-batch and then refreshes dependent views; start it with any trigger.
 
-    The snapshot's summary names the stream and batch, so a batch replayed after a
-    failure is recognised; plans stay lazy until the batch runs.
+    A property of the table holds the last batch of the stream, so a batch replayed
+    after a failure is recognised, also once its snapshot is expired; plans stay lazy
+    until the batch runs.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        t = session.table(table)
-        done = [s.summary.get(BATCH) for s in t.metadata.snapshots.values()]
-        mark = f"{stream_id}:{number}"
-        if mark not in done:
-            t.append(batch, summary={BATCH: mark})
+        append_batch(session.table(table), batch, stream_id, number)
         for v in refresh:
             session.refresh(v)
 
