@@ -294,6 +294,7 @@ class LakeTable:
 
     def _gather(self, meta: TableMetadata, kept: list[dict], new: list[dict], least: int = 100, files: int = 100) -> list[dict]:
         """Rewrite many small manifests of a spec into few, clustered by partition; entries keep their sequence numbers."""
+        least = int(meta.properties.get("commit.manifest.min-count-to-merge", least))
         small = [m for m in kept if m["files"] < files and not m["deletes"]]
         if len(small) < least:
             return kept + new
