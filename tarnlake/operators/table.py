@@ -56,7 +56,10 @@ class LakeTable:
     # -- reading
 
     def manifests(self, meta: TableMetadata, snapshot: Snapshot | None, after: int = 0) -> list[dict]:
-        return [m for m in snapshot.manifests if m["sequence_number"] > after] if snapshot else []
+        """What the snapshot's list says of each manifest that may hold greater sequence numbers."""
+        if snapshot is None:
+            return []
+        return [m for m in M.read_list(self.storage, meta, snapshot.manifest_list) if m["sequence_number"] > after]
 
     def files(self, predicate: Predicate | None = None, ref: str | None = None, snapshot_id: int | None = None, after: int = 0, meta: TableMetadata | None = None) -> list[M.DataFile]:
         """Live files of a snapshot that the predicate may concern; ``after``: only with greater sequence numbers."""
@@ -210,7 +213,7 @@ class LakeTable:
             return fixed
         target = int(meta.properties.get("write.target-file-size-bytes", TARGET_BYTES))
         held = meta.snapshot(self.branch)
-        rows, size = (sum(m.get(k, 0) for m in held.manifests) for k in ("rows", "bytes")) if held else (0, 0)
+        rows, size = (int(held.summary.get(k, 0)) for k in ("total-records", "total-files-size")) if held else (0, 0)
         each = size / rows if rows and size else sum(_width(f.dataType) for f in schema.fields)
         return max(1, int(target / max(each, 1e-3)))
 
@@ -281,16 +284,17 @@ class LakeTable:
             parent = meta.snapshot(ref)
             seq, sid = meta.last_sequence_number + 1, _new_id()
             stamp = lambda fs: [changed(f, sequence_number=seq, snapshot_id=sid) for f in fs]
-            kept = list(parent.manifests) if parent and operation != "replace" else []
+            kept = self.manifests(meta, parent) if operation != "replace" else []
             new = [self._manifest(meta, part) for part in (stamp(added), stamp(gone)) if part]
             kept = self._gather(meta, kept, new)
-            s = Snapshot(sid, parent.snapshot_id if parent else None, seq, now_ms(), operation, tuple(kept), meta.current_schema, dict(summary or {}))
+            told = {**_totals(parent if operation != "replace" else None, added), **(summary or {})}
+            s = Snapshot(sid, parent.snapshot_id if parent else None, seq, now_ms(), operation, M.write_list(self.storage, meta, sid, kept), meta.current_schema, told)
             return changed(meta.with_snapshot(s, ref), properties={**meta.properties, **(properties or {})})
 
         self.catalog.commit(self.identifier, change, retries, requires)
 
     def _manifest(self, meta: TableMetadata, files: list[M.DataFile]) -> dict:
-        return M.write_manifest(self.storage, f"{meta.location}/metadata", files)
+        return M.write_manifest(self.storage, meta, files)
 
     def _gather(self, meta: TableMetadata, kept: list[dict], new: list[dict], least: int = 100, files: int = 100) -> list[dict]:
         """Rewrite many small manifests of a spec into few, clustered by partition; entries keep their sequence numbers."""
@@ -407,11 +411,13 @@ class LakeTable:
             return changed(meta, snapshots=left, log=tuple(x for x in meta.log if x[1] in left))
 
         after = self.catalog.commit(self.identifier, change, 3)
-        named = lambda meta: {m["path"] for s in meta.snapshots.values() for m in s.manifests}
-        dead = named(before["meta"]) - named(after)
-        live = {f.path for p in named(after) for f in M.read_manifest(self.storage, p)}
+        named = lambda meta: {m["path"] for s in meta.snapshots.values() for m in self.manifests(meta, s)}
+        lists = {s.manifest_list for s in before["meta"].snapshots.values()} - {s.manifest_list for s in after.snapshots.values()}
+        left = named(after)
+        dead = named(before["meta"]) - left
+        live = {f.path for p in left for f in M.read_manifest(self.storage, p)} if dead else set()
         gone = {f.path for p in dead for f in M.read_manifest(self.storage, p)} - live
-        for p in [*gone, *dead]:
+        for p in [*gone, *dead, *lists]:
             self.storage.delete(p)
         return len(gone)
 
@@ -420,6 +426,14 @@ class LakeTable:
         return self.replace(self.df())
 
 
+def _totals(parent: Snapshot | None, added: list[M.DataFile]) -> dict:
+    """Rows and bytes of the data files after a commit, as text."""
+    out = {}
+    for k, n in (("total-records", sum(f.rows for f in added)), ("total-files-size", sum(f.bytes for f in added))):
+        out[k] = str(int(parent.summary.get(k, 0) if parent else 0) + n)
+    return out
+
+
 def _width(t: T.DataType) -> int:
     """Bytes of a value, as planners guess them."""
     if isinstance(t, T.StructType):

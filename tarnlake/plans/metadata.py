@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import base64
-import datetime
 import json
 import re
 import time
 import uuid
-from dataclasses import asdict, dataclass, field, replace
-from decimal import Decimal
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
 
 from tarnlake.functions.transforms import Transform, field_name
+from tarnlake.plans.types import schema_json, schema_of
 
 FIELD_ID = "parquet.field.id"
 MAIN = "main"
@@ -27,28 +25,6 @@ def now_ms() -> int:
     return int(time.time() * 1000)
 
 
-# -- values in JSON
-
-
-def to_json(v):
-    if isinstance(v, datetime.datetime):
-        return {"ts": v.isoformat()}
-    if isinstance(v, datetime.date):
-        return {"d": v.isoformat()}
-    if isinstance(v, Decimal):
-        return {"dec": str(v)}
-    if isinstance(v, (bytes, bytearray)):
-        return {"b": base64.b64encode(bytes(v)).decode()}
-    return v
-
-
-def from_json(v):
-    if isinstance(v, dict):
-        (k, x), = v.items()
-        return {"ts": datetime.datetime.fromisoformat, "d": datetime.date.fromisoformat, "dec": Decimal, "b": base64.b64decode}[k](x)
-    return v
-
-
 # -- schema
 
 
@@ -111,7 +87,7 @@ class Snapshot:
     sequence_number: int
     timestamp_ms: int
     operation: str
-    manifests: tuple  # summaries: path, content, files, rows, sequence_number, min_sequence_number, bounds
+    manifest_list: str  # path of the file that names its manifests
     schema_id: int
     summary: dict = field(default_factory=dict)
 
@@ -183,32 +159,73 @@ class TableMetadata:
         log = (*self.log, (s.timestamp_ms, s.snapshot_id)) if ref == MAIN else self.log
         return replace(self, snapshots={**self.snapshots, s.snapshot_id: s}, refs=refs, log=log, last_sequence_number=s.sequence_number, last_updated_ms=s.timestamp_ms)
 
+    def type_of(self, column: str) -> T.DataType:
+        """Of a column of the current schema, or of the latest that had it."""
+        return self._field(lambda f: f.name == column, column).dataType
+
+    def _field(self, test, what) -> T.StructField:
+        order = [self.schemas[self.current_schema], *[self.schemas[k] for k in sorted(self.schemas, reverse=True)]]
+        for s in order:
+            for f in s.fields:
+                if test(f):
+                    return f
+        raise ValueError(f"no column {what!r}")
+
+    def id_of(self, column: str) -> int:
+        return int(self._field(lambda f: f.name == column, column).metadata[FIELD_ID])
+
     def to_json(self) -> str:
-        d = {k: v for k, v in self.__dict__.items()}
-        d["schemas"] = {str(k): v.jsonValue() for k, v in self.schemas.items()}
-        d["specs"] = {str(k): [asdict(f) for f in v] for k, v in self.specs.items()}
-        d["snapshots"] = {str(k): asdict(v) for k, v in self.snapshots.items()}
-        d["refs"] = {k: asdict(v) for k, v in self.refs.items()}
-        d["sort_orders"] = {str(k): list(v) for k, v in self.sort_orders.items()}
-        return json.dumps(d, indent=1)
+        """The public table format, version 2."""
+        schemas = [schema_json(v, k) for k, v in self.schemas.items()]
+        ids = [int(x) for x in re.findall(r'"(?:id|element-id|key-id|value-id)": (\d+)', json.dumps(schemas))]
+        current = self.refs.get(MAIN)
+        snapshots = []
+        for s in self.snapshots.values():
+            d = {
+                "snapshot-id": s.snapshot_id, "parent-snapshot-id": s.parent_id, "sequence-number": s.sequence_number, "timestamp-ms": s.timestamp_ms,
+                "manifest-list": s.manifest_list, "summary": {"operation": s.operation, **s.summary}, "schema-id": s.schema_id,
+            }
+            snapshots.append({k: v for k, v in d.items() if v is not None})
+        order = lambda k, v: {"order-id": k, "fields": [{"transform": "identity", "source-id": self.id_of(c), "direction": d, "null-order": "nulls-first" if d == "asc" else "nulls-last"} for c, d in v]}
+        return json.dumps({
+            "format-version": self.format_version, "table-uuid": self.uuid, "location": self.location, "last-sequence-number": self.last_sequence_number,
+            "last-updated-ms": self.last_updated_ms, "last-column-id": max(ids, default=0), "schemas": schemas, "current-schema-id": self.current_schema,
+            "partition-specs": [{"spec-id": k, "fields": [{"source-id": self.id_of(f.source), "field-id": f.field_id, "name": f.name, "transform": f.transform} for f in v]} for k, v in self.specs.items()],
+            "default-spec-id": self.default_spec, "last-partition-id": max((f.field_id for v in self.specs.values() for f in v), default=999),
+            "properties": self.properties, "current-snapshot-id": current.snapshot_id if current else -1, "snapshots": snapshots,
+            "snapshot-log": [{"timestamp-ms": t, "snapshot-id": i} for t, i in self.log], "metadata-log": [],
+            "sort-orders": [order(k, v) for k, v in self.sort_orders.items()], "default-sort-order-id": self.default_sort_order,
+            "refs": {k: {"snapshot-id": r.snapshot_id, "type": r.kind, **({"max-ref-age-ms": r.max_age_ms} if r.max_age_ms is not None else {})} for k, r in self.refs.items()},
+        }, indent=1)
 
     @staticmethod
     def from_json(text: str) -> TableMetadata:
         d = json.loads(text)
-        missing = {"uuid", "location", "schemas", "current_schema", "specs", "default_spec"} - set(d)
+        missing = {"table-uuid", "location", "schemas", "current-schema-id", "partition-specs", "default-spec-id"} - set(d)
         if missing:
             raise ValueError(f"metadata without {sorted(missing)}")
-        if d.get("format_version") not in (1, 2):
-            raise ValueError(f"format version {d.get('format_version')!r}")
-        d["schemas"] = {int(k): T.StructType.fromJson(v) for k, v in d["schemas"].items()}
-        d["specs"] = {int(k): tuple(SpecField(**f) for f in v) for k, v in d["specs"].items()}
-        d["snapshots"] = {int(k): Snapshot(**{**v, "manifests": tuple(v["manifests"])}) for k, v in d.get("snapshots", {}).items()}
-        d["refs"] = {k: Ref(**v) for k, v in d.get("refs", {}).items()}
-        d["sort_orders"] = {int(k): tuple(map(tuple, v)) for k, v in d.get("sort_orders", {"0": []}).items()}
-        d["log"] = tuple(map(tuple, d.get("log", ())))
-        if d["current_schema"] not in d["schemas"] or d["default_spec"] not in d["specs"]:
+        if d.get("format-version") not in (1, 2):
+            raise ValueError(f"format version {d.get('format-version')!r}")
+        schemas = {s["schema-id"]: schema_of(s) for s in d["schemas"]}
+        if d["current-schema-id"] not in schemas or d["default-spec-id"] not in {s["spec-id"] for s in d["partition-specs"]}:
             raise ValueError("the current schema or default spec is missing")
-        return TableMetadata(**d)
+        names = {}
+        for k in [*sorted(schemas), d["current-schema-id"]]:  # the current name of an id wins
+            names.update({int(f.metadata[FIELD_ID]): f.name for f in schemas[k].fields})
+        specs = {s["spec-id"]: tuple(SpecField(names[f["source-id"]], f["transform"], f["name"], f["field-id"]) for f in s["fields"]) for s in d["partition-specs"]}
+        snapshots = {}
+        for s in d.get("snapshots", []):
+            summary = dict(s.get("summary", {}))
+            operation = summary.pop("operation", "append")
+            snapshots[s["snapshot-id"]] = Snapshot(s["snapshot-id"], s.get("parent-snapshot-id"), s.get("sequence-number", 0), s["timestamp-ms"], operation, s["manifest-list"], s.get("schema-id", d["current-schema-id"]), summary)
+        orders = {o["order-id"]: tuple((names[f["source-id"]], f["direction"]) for f in o["fields"]) for o in d.get("sort-orders", [{"order-id": 0, "fields": []}])}
+        refs = {k: Ref(r["snapshot-id"], r["type"], r.get("max-ref-age-ms")) for k, r in d.get("refs", {}).items()}
+        if not refs and d.get("current-snapshot-id", -1) not in (-1, None):
+            refs = {MAIN: Ref(d["current-snapshot-id"])}
+        return TableMetadata(
+            d["table-uuid"], d["location"], schemas, d["current-schema-id"], specs, d["default-spec-id"], d.get("last-sequence-number", 0), d.get("last-updated-ms", 0), snapshots,
+            tuple((x["timestamp-ms"], x["snapshot-id"]) for x in d.get("snapshot-log", [])), refs, d.get("properties", {}), orders, d.get("default-sort-order-id", 0), d["format-version"],
+        )
 
 
 @dataclass(frozen=True)
@@ -254,17 +271,30 @@ class ViewMetadata:
         )
 
     def to_json(self) -> str:
-        d = dict(self.__dict__)
-        d["versions"] = {str(k): asdict(v) for k, v in self.versions.items()}
-        return json.dumps(d, indent=1)
+        """The public view format; a materialized view's versions name a storage table besides."""
+        versions, schemas = [], []
+        for v in self.versions.values():
+            schemas.append(schema_json(with_ids(T.StructType.fromJson(v.schema)), v.version_id))
+            versions.append({
+                "version-id": v.version_id, "timestamp-ms": v.timestamp_ms, "schema-id": v.version_id, "summary": {}, "default-namespace": v.default_namespace.split("."),
+                "representations": [{"type": "sql", "sql": v.sql, "dialect": "spark"}], **({"storage-table": v.storage_table} if v.storage_table else {}),
+            })
+        return json.dumps({
+            "view-uuid": self.uuid, "format-version": 1, "location": self.location, "schemas": schemas, "versions": versions, "current-version-id": self.current_version,
+            "version-log": [{"timestamp-ms": t, "version-id": i} for t, i in self.log], "properties": self.properties,
+        }, indent=1)
 
     @staticmethod
     def from_json(text: str) -> ViewMetadata:
         d = json.loads(text)
-        d["versions"] = {int(k): ViewVersion(**v) for k, v in d["versions"].items()}
-        d["log"] = tuple(map(tuple, d["log"]))
-        return ViewMetadata(**d)
+        schemas, versions = {s["schema-id"]: schema_of(s) for s in d["schemas"]}, {}
+        for v in d["versions"]:
+            plain = T.StructType([T.StructField(f.name, f.dataType, f.nullable) for f in schemas[v["schema-id"]].fields])
+            sql = next(r["sql"] for r in v["representations"] if r["type"] == "sql")
+            versions[v["version-id"]] = ViewVersion(v["version-id"], sql, plain.jsonValue(), v["timestamp-ms"], ".".join(v["default-namespace"]), v.get("storage-table"))
+        kind = "materialized view" if any(v.storage_table for v in versions.values()) else "view"
+        return ViewMetadata(d["view-uuid"], d["location"], versions, d["current-version-id"], tuple((x["timestamp-ms"], x["version-id"]) for x in d["version-log"]), d.get("properties", {}), kind)
 
 
 def parse(text: str) -> TableMetadata | ViewMetadata:
-    return (TableMetadata if json.loads(text).get("kind") == "table" else ViewMetadata).from_json(text)
+    return (ViewMetadata if "versions" in json.loads(text) else TableMetadata).from_json(text)

@@ -23,25 +23,33 @@ class Storage:
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
 
     def read(self, path: str) -> str:
+        return self.read_bytes(path).decode("utf-8")
+
+    def read_bytes(self, path: str) -> bytes:
+        local = local_path(path)
+        if local is not None:
+            with open(local, "rb") as f:
+                return f.read()
         fs, p = self._fs(path)
         stream = fs.open(p)
         try:
-            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
         finally:
             stream.close()
 
-    def create(self, path: str, text: str) -> None:
+    def create(self, path: str, text: str | bytes) -> None:
         """Write a new file; exactly one of several writers succeeds, the others get AlreadyThere.
 
         Local folders link a finished file into place, which is atomic; elsewhere
         the store's own create without overwrite decides.
         """
+        raw = text.encode("utf-8") if isinstance(text, str) else text
         local = local_path(path)
         if local is not None:
             os.makedirs(os.path.dirname(local), exist_ok=True)
             own = f"{local}.{uuid.uuid4().hex}.tmp"
-            with open(own, "w", encoding="utf-8") as f:
-                f.write(text)
+            with open(own, "wb") as f:
+                f.write(raw)
             try:
                 os.link(own, local)
             except FileExistsError:
@@ -56,7 +64,7 @@ class Storage:
             if fs.exists(p):
                 raise AlreadyThere(path) from e
             raise
-        out.write(bytearray(text.encode("utf-8")))
+        out.write(bytearray(raw))
         out.close()
 
     def names(self, path: str) -> list[str]:
