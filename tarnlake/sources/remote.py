@@ -188,7 +188,7 @@ class RestCatalog(Catalog):
             if base is None or base[0] != old:
                 raise CommitConflict(identifier)
             if kind == "tables":
-                refs = tuple(r for r in {*base[1].refs, *metadata.refs} if base[1].refs.get(r) != metadata.refs.get(r))
+                refs = tuple(sorted({*base[1].refs, *metadata.refs}))
                 body = {"requirements": changes.requirements(base[1], refs), "updates": changes.updates(base[1], metadata)}
             else:
                 body = {"requirements": [{"type": "assert-view-uuid", "uuid": base[1].uuid}], "updates": view_updates(base[1], metadata)}
