@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 from tarnlake.plans import changes
-from tarnlake.plans.metadata import CommitConflict, TableMetadata, ViewMetadata, parse
+from tarnlake.plans.metadata import MAIN, CommitConflict, TableMetadata, ViewMetadata, parse
 from tarnlake.sources.catalog import Catalog, Exists, NoSuch, split
 
 
@@ -188,7 +188,7 @@ class RestCatalog(Catalog):
             if base is None or base[0] != old:
                 raise CommitConflict(identifier)
             if kind == "tables":
-                refs = tuple(sorted({*base[1].refs, *metadata.refs}))
+                refs = tuple(sorted({MAIN, *base[1].refs, *metadata.refs}))
                 body = {"requirements": changes.requirements(base[1], refs), "updates": changes.updates(base[1], metadata)}
             else:
                 body = {"requirements": [{"type": "assert-view-uuid", "uuid": base[1].uuid}], "updates": view_updates(base[1], metadata)}
