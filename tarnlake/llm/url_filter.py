@@ -234,11 +234,11 @@ def judge(
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x, ends = features(b["url"].to_list(), b["host"].to_list(), b["path"].to_list())
-            yield pd.DataFrame({"x": list(x), "ends": list(ends), "y": b["y"], "h": b["h"]})
+            yield pd.DataFrame({"x": [r.tobytes() for r in x], "ends": [r.tobytes() for r in ends], "y": b["y"]})
 
-    known = known.withColumn("h", F.xxhash64("url", "page_id")).mapInPandas(made, "x array<double>, ends array<long>, y double, h long")
-    got = bounded_sample(known, train_rows, "h", "y").collect()  # numbers only, of a bounded sample
-    model = train(*(np.array([r[k] for r in got]) for k in ("x", "ends", "y")))
+    few = bounded_sample(known, train_rows, "url", "page_id", "y")
+    got = few.mapInPandas(made, "x binary, ends binary, y double").collect()  # numbers only, of a bounded sample
+    model = train(np.array([np.frombuffer(r.x) for r in got]), np.array([np.frombuffer(r.ends, np.int64) for r in got]), np.array([r.y for r in got]))
 
     @F.pandas_udf("double")
     def block(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
