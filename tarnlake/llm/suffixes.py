@@ -16,7 +16,8 @@ bounded bucket of suffix keys at a time and answers with one bit per key:
 
 Keys are fingerprints: order among suffixes does not matter here, only equality.
 Keys of the last two rounds have 64 bits and lie in buckets by another hash, so equal keys are
-equal strings but for a chance of about n^2 / (buckets * 2^65).  A key goes once
+equal strings but for a chance of about n^2 / (buckets * 2^65); both hashes are
+drawn anew for each run, so that no text can be made to collide.  A key goes once
 per chunk of text to its bucket, with a mark if it recurs there, so a string with
 a third of all places is no burden to its bucket.
 
@@ -32,6 +33,7 @@ their own; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import secrets
 import uuid
 from collections.abc import Iterator
 
@@ -73,29 +75,25 @@ def cover_for(length: int) -> tuple[int, list[int]]:
     return 1, [0]
 
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_M64 = (1 << 64) - 1
-
-
 class Powers:
-    """Powers of the two bases and of their inverses, grown as needed."""
+    """Two fingerprints drawn from a seed: a value for each byte, a base, and its powers and their inverses, grown as needed."""
 
-    def __init__(self):
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.bases = [int(b) & ~7 | 5 for b in rng.integers(1 << 62, 1 << 63, 2, dtype=np.uint64)]
+        self.bytes = rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.up: dict[int, np.ndarray] = {}
         self.down: dict[int, np.ndarray] = {}
 
     def get(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self.up or len(self.up[k]) < n:
-            for kept, base in ((self.up, _BASES[k]), (self.down, pow(_BASES[k], -1, 1 << 64))):
+            for kept, base in ((self.up, self.bases[k]), (self.down, pow(self.bases[k], -1, 1 << 64))):
                 x = np.full(n, base, np.uint64)
                 x[:1] = 1
                 kept[k] = np.multiply.accumulate(x)
         return self.up[k], self.down[k]
 
 
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 class Text:
     """The bytes of a chunk and the fingerprints of its substrings."""
 
@@ -113,7 +111,7 @@ class Text:
         up, down = self.powers.get(k, n + 1)
         if k not in self.sums:
             s = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTES[k][self.data] * up[:n], out=s[1:])
+            np.cumsum(self.powers.bytes[k][self.data] * up[:n], out=s[1:])
             self.sums[k] = s
         s = self.sums[k]
         h = (s[at + length] - s[at]) * down[at]
@@ -165,10 +163,10 @@ def _covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 class Rounds:
     """What a chunk asks in each round, given the answers of the rounds before."""
 
-    def __init__(self, length: int, buckets: int):
+    def __init__(self, length: int, buckets: int, seed: int = 0):
         self.length, self.buckets = length, buckets
         self.v, self.cover = cover_for(length)
-        self.powers = Powers()
+        self.powers = Powers(seed)
 
     def _bucket(self, h: np.ndarray) -> np.ndarray:
         b = (h >> np.uint64(32)) % np.uint64(self.buckets)
@@ -295,6 +293,7 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
     buckets = int(max(8, total * len(cover) / v // bucket_keys + 1))
     kind = docs.schema[id_col].dataType.simpleString()
     known: list[DataFrame] = []
+    seed = secrets.randbits(128)  # one for all rounds of this run
 
     def joined() -> DataFrame:
         """Chunks with the answers of the rounds so far; only answers are moved."""
@@ -314,7 +313,7 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
                 yield b, k, t, keys, places
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, k, _, keys, _ in texts(batches, Rounds(length, buckets)):
+        for b, k, _, keys, _ in texts(batches, Rounds(length, buckets, seed)):
             got = list(keys.blobs())
             if got:
                 bucket, blob, many = zip(*got)
@@ -324,7 +323,7 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
                 )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, k, t, _, places in texts(batches, Rounds(length, buckets)):
+        for b, k, t, _, places in texts(batches, Rounds(length, buckets, seed)):
             gone = _covered(len(t.data), places, length)
             edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
             starts = t.ends - t.sizes
