@@ -95,3 +95,37 @@ def test_short_items_match_as_whole_sequences(spark):
         got = sorted((r.doc_id, r.item_id) for r in dc.matches(docs, items).collect())
         assert got == [(1, 7), (1, 8), (6, 7), (6, 8)]
     assert dc.matches(docs.limit(0), items).count() == 0
+
+
+def test_paraphrases_that_the_exact_rule_accepts_are_candidates(spark):
+    """Items with replaced and inserted words between strange ones; what a full common subsequence with the paraphrase accepts must be found."""
+    import random
+    import re
+
+    d = "/root/testdata/sf0.01"
+    benchmark = spark.read.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(5)
+    pool = [w for r in docs.where("length(text) > 100").limit(200).collect() for w in re.findall(r"\w+", r.text)]
+    strange = lambda n: [rng.choice(pool) for _ in range(n)]
+
+    def ids(words):
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return dc._id(dc.words_of(raw, np.array([len(raw)]))[0])
+
+    rows, want = [], []
+    for share, inserted in ((0.1, 0.0), (0.2, 0.2), (0.3, 0.0), (0.35, 0.1), (0.4, 0.0)):
+        for r in benchmark.collect():
+            words, out = re.findall(r"\w+", r.text), []
+            for k, w in enumerate(words):
+                answer = k >= len(words) - max(3, len(words) // 5)
+                out += [rng.choice(pool) if not answer and rng.random() < share else w]
+                out += strange(1) if not answer and rng.random() < inserted else []
+            a, b = ids(words), ids(out)
+            part, told = dc.lcs(a, b) / len(a), dc.lcs(dc.answer_of(a), b) >= 0.8 * len(dc.answer_of(a))
+            rows.append((10**9 + len(rows), " ".join([*strange(40), *out, *strange(40)])))
+            if part >= 0.8 or part >= 0.6 and told:
+                want.append((rows[-1][0], r.item_id))
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.matches(docs.unionByName(more), benchmark).collect()}
+    assert len(want) > 60 and np.mean([w in got for w in want]) > 0.97
