@@ -392,7 +392,7 @@ class Retrieval:
 
 
 def matches(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 48, oversample: int = 8, cosine: float = 0.4, full: float = 0.8, part: float = 0.6,
+    docs: DataFrame, benchmark: DataFrame, rank: int = 48, oversample: int = 8, cosine: float = 0.45, full: float = 0.8, part: float = 0.6,
     answer: float = 0.8, least_words: int = 5, most_items: int = 100_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_found for every document and item it holds."""
