@@ -302,23 +302,31 @@ class Refresh:
             self.storage.append(delta, summary=self._summary(), base=self.base)
             return
         how = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
-        cols = delta.columns
-        delta = delta.groupBy(*[F.col(f"`{k}`") for k in shape.keys]).agg(*[how[f](F.col(f"`{c}`")).alias(c) for c, f in shape.merges])
-        stored = self.storage.df(meta=self.base).select(*[F.col(f"`{c}`").alias(f"_s_{i}") for i, c in enumerate(cols)], F.lit(True).alias("_stored"))
-        at = {c: i for i, c in enumerate(cols)}
-        same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_s_{at[k]}")) for k in shape.keys])
+        keys, cols = [F.col(f"`{k}`") for k in shape.keys], delta.columns
+        merge = lambda df: df.groupBy(*keys).agg(*[how[f](F.col(f"`{c}`")).alias(c) for c, f in shape.merges])
         types = {f.name: f.dataType for f in self.storage.metadata.schema().fields}
-        out = [F.col(f"`{k}`") for k in shape.keys]
-        for c, f in shape.merges:
-            d, s = F.col(f"`{c}`"), F.col(f"_s_{at[c]}")
-            merged = {"min": F.least(d, s), "max": F.greatest(d, s)}.get(f, F.coalesce(d + s, d, s))
-            out.append(merged.cast(types[c]).alias(c))
-        merged = delta.join(stored, same, "left").select(*out, F.coalesce("_stored", F.lit(False)).alias("_stored")).persist()
+        typed = lambda df: df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in cols])
+        news = typed(merge(delta)).persist()
+        named = news.select(*[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+        if self._few_new_rows():
+            named = F.broadcast(named)
+        same = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        touched = self.storage.df(meta=self.base).select(*[F.col(f"`{c}`") for c in cols]).join(named, same, "left_semi").persist()
         try:
-            rows = merged.select(*[F.col(f"`{c}`") for c in cols])
-            self.storage.append(rows, deletes=merged.where("_stored").select(*[F.col(f"`{k}`") for k in shape.keys]), on=shape.keys, summary=self._summary(), base=self.base)
+            rows = typed(merge(news.unionByName(touched)))
+            self.storage.append(rows, deletes=touched.select(*keys), on=shape.keys, summary=self._summary(), base=self.base)
         finally:
-            merged.unpersist()
+            news.unpersist()
+            touched.unpersist()
+
+    def _few_new_rows(self, most: int = 1_000_000) -> bool:
+        """Is the view over one place whose new files hold few rows? Then so many groups at most have news."""
+        if len(self.places) != 1:
+            return False
+        s = self._per_place()[0]
+        meta = s.table.metadata
+        after = meta.snapshots[s.before].sequence_number if s.before is not None else 0
+        return sum(m["rows"] for m in s.table.manifests(meta, meta.snapshots[s.now], after) if not m["deletes"]) <= most
 
 
 def refresh(r: Resolver, name: str, retries: int = 5) -> str:
