@@ -228,6 +228,13 @@ class TableMetadata:
         )
 
 
+def _without_ids(j):
+    """A schema's JSON without field metadata, at any depth."""
+    if isinstance(j, dict):
+        return {k: {} if k == "metadata" else _without_ids(v) for k, v in j.items()}
+    return [_without_ids(x) for x in j] if isinstance(j, list) else j
+
+
 @dataclass(frozen=True)
 class ViewVersion:
     version_id: int
@@ -289,7 +296,7 @@ class ViewMetadata:
         d = json.loads(text)
         schemas, versions = {s["schema-id"]: schema_of(s) for s in d["schemas"]}, {}
         for v in d["versions"]:
-            plain = T.StructType([T.StructField(f.name, f.dataType, f.nullable) for f in schemas[v["schema-id"]].fields])
+            plain = T.StructType.fromJson(_without_ids(schemas[v["schema-id"]].jsonValue()))
             sql = next(r["sql"] for r in v["representations"] if r["type"] == "sql")
             versions[v["version-id"]] = ViewVersion(v["version-id"], sql, plain.jsonValue(), v["timestamp-ms"], ".".join(v["default-namespace"]), v.get("storage-table"))
         kind = "materialized view" if any(v.storage_table for v in versions.values()) else "view"
