@@ -248,12 +248,13 @@ class GlueCatalog(Catalog):
     """Databases and tables of the Glue service; a swap is an UpdateTable that names the version it read.
 
     ``endpoint`` with the region's signer; metadata files lie in ``warehouse``.
+    ``table_type`` marks this catalog's tables: pass what other readers of the
+    service look for.
     """
 
-    _TYPE = "ICEBERG"
-
-    def __init__(self, spark: SparkSession, endpoint: str, warehouse: str, signer: Signer | None = None, name: str = "lake", catalog_id: str | None = None, timeout: float = 60):
+    def __init__(self, spark: SparkSession, endpoint: str, warehouse: str, signer: Signer | None = None, name: str = "lake", catalog_id: str | None = None, table_type: str = "LAKE", timeout: float = 60):
         super().__init__(spark, warehouse, name)
+        self.table_type = table_type
         self.endpoint, self.signer, self.timeout = endpoint, signer, timeout
         self.fixed = {"CatalogId": catalog_id} if catalog_id else {}
         self._versions: dict[str, tuple[str, str | None]] = {}
@@ -303,7 +304,7 @@ class GlueCatalog(Catalog):
 
     def tabulars(self, namespace: str) -> list[str]:
         found = self._pages("GetTables", "TableList", DatabaseName=namespace)
-        return sorted(f"{namespace}.{t['Name']}" for t in found if t.get("Parameters", {}).get("table_type", "").upper() == self._TYPE)
+        return sorted(f"{namespace}.{t['Name']}" for t in found if t.get("Parameters", {}).get("table_type", "").upper() == self.table_type)
 
     def pointer(self, identifier: str) -> str | None:
         ns, name = split(identifier)
@@ -319,7 +320,7 @@ class GlueCatalog(Catalog):
     def _input(self, identifier: str, path: str, metadata, old: str | None) -> dict:
         schema = metadata.schema() if isinstance(metadata, TableMetadata) else None
         columns = [{"Name": f.name, "Type": f.dataType.simpleString()} for f in schema.fields] if schema else []
-        told = {"table_type": self._TYPE, "metadata_location": path, **({"previous_metadata_location": old} if old else {})}
+        told = {"table_type": self.table_type, "metadata_location": path, **({"previous_metadata_location": old} if old else {})}
         return {"Name": split(identifier)[1], "TableType": "EXTERNAL_TABLE", "Parameters": told, "StorageDescriptor": {"Columns": columns, "Location": metadata.location}}
 
     def swap(self, identifier: str, old: str | None, metadata) -> str:

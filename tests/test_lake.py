@@ -148,7 +148,7 @@ def test_catalog_operations(session):
         c.create("nowhere.t", TableMetadata.new("/x", T.StructType.fromDDL("a INT")))
 
 
-def test_metadata_round_trip():
+def test_metadata_round_trip(spark):
     schema = T.StructType.fromDDL("a INT NOT NULL, b STRUCT<c: ARRAY<STRING>, d: MAP<STRING, INT>>, e TIMESTAMP_NTZ")
     m = TableMetadata.new("/x", schema, [], {"k": "v"})
     ids = [f.metadata["parquet.field.id"] for f in m.schema().fields]
