@@ -46,5 +46,7 @@ def connected(edges: DataFrame, tmp: Scratch, name: str = "cc") -> DataFrame:
         if now == sign:
             break
         sign = now
+    else:
+        raise RuntimeError("components did not settle in 200 rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
