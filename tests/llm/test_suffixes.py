@@ -32,6 +32,57 @@ def test_cover(q):
     assert v == q * q + q + 1 and len(d) == q + 1 and {(i - j) % v for i in d for j in d} == set(range(v))
 
 
+@pytest.mark.parametrize("length", [5, 12, 40, 200])
+def test_bucket_is_sorted_by_its_text(length):
+    rng = random.Random(length)
+    for _ in range(10):
+        base = bytes(rng.choice(b"abc") for _ in range(800)) * 2
+        pieces = [b"z" * (length + 100)]
+        for _ in range(rng.randint(1, 40)):
+            a = rng.randrange(400)
+            p = bytearray(base[a : a + length + rng.randint(0, 150)])
+            if rng.random() < 0.5:
+                p[rng.randrange(len(p))] = 120
+            pieces.append(bytes(p))
+        pieces = list(dict.fromkeys(pieces))
+        text, at, seen = b"".join(pieces), [], {}
+        for p in pieces:
+            start = at[-1] + length if at else 0
+            at += range(start, start + len(p) - length + 1)
+            for i in range(len(p) - length + 1):
+                seen[p[i : i + length]] = seen.get(p[i : i + length], 0) + 1
+        at = np.array(at)
+        order, same = suffixes.Bucket(np.frombuffer(text, np.uint8), at, length).sorted()
+        strings = [text[i : i + length] for i in at[order].tolist()]
+        assert strings == sorted(strings)
+        assert same.tolist() == [False] + [a == b for a, b in zip(strings, strings[1:])]
+        marks = suffixes.sort_bucket(pieces + pieces[:1], np.zeros(len(pieces) + 1), length)
+        for k, p in enumerate(pieces):
+            assert marks[k].tolist() == [k == 0 or seen[p[i : i + length]] > 1 or p[i : i + length] in pieces[0] for i in range(len(p) - length + 1)]
+
+
+def test_frequent_lines_in_many_contexts(spark):
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    texts = ["".join(rng.choice("stuvwxyz ") for _ in range(rng.randint(20, 260))) + line + "".join(rng.choice("stuvwxyz ") for _ in range(rng.randint(20, 260))) for _ in range(300)]
+    texts += [texts[7][5:], texts[8][:-3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated(df, chunk_bytes=9000, bucket_bytes=8000).collect()}
+    assert [got[i] for i in range(len(texts))] == plain(texts)
+    # around the line, what stands beside it decides the bucket
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts[:300]]
+    rounds = suffixes.Rounds(200, (8, 64))
+    most = []
+    for hot in (None, np.unique(suffixes.Text(np.frombuffer(line.encode(), np.uint8), np.array([150]), rounds.powers).grams(16))):
+        r, load = suffixes.Rounds(200, (8, 64), hot=hot), np.zeros(64)
+        for d in data:
+            t = suffixes.Text(d, np.array([len(d)]), r.powers)
+            for bucket, blob, _, _ in r.runs(t, np.arange(max(0, len(d) - 199))).blobs():
+                load[bucket] += len(blob)
+        most.append(load.max() / load.sum())
+    assert most[1] < most[0] / 2
+
+
 def test_random_texts_equal_brute_force(spark):
     rng = random.Random(9)
     base = "".join(rng.choice("abé ") for _ in range(6000))
