@@ -28,10 +28,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and one machine does all (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _LOCAL.get("app") != spark.sparkContext.applicationId:
         _LOCAL.update(app=spark.sparkContext.applicationId, dir="file://" + tempfile.mkdtemp(prefix="tarnlake-"))
     return _LOCAL["dir"]

@@ -18,8 +18,8 @@ Words are of letters and digits, lower-cased where ASCII or Latin-1, hashed to 1
 bits; terms are 14 of these.  Two different words of an item and a window of some
 eighty agree by chance 0.05 times, far below the thresholds.
 
-The benchmark is a stated query set; it is collected, and its size is checked
-(``most_items``).
+The benchmark is a stated query set, collected in parts of about ``most_items`` items
+and ``most_bytes`` bytes at most; the words are searched once for each part, with one set of vectors.
 
 Edge cases: null and empty texts have no words and no match; items that are null
 or have no word are not searched, those of fewer than ``least_words`` words match
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -393,33 +394,42 @@ class Retrieval:
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, rank: int = 48, oversample: int = 8, cosine: float = 0.45, full: float = 0.8, part: float = 0.6,
-    answer: float = 0.8, least_words: int = 5, most_items: int = 100_000, id_col: str = "doc_id", text_col: str = "text",
+    answer: float = 0.8, least_words: int = 5, most_items: int = 100_000, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_found for every document and item it holds."""
     spark = docs.sparkSession
     small_batches(spark)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, cosine double, lcs_share double, answer_found boolean"
-    n = benchmark.count()
-    if n > most_items:
-        raise ValueError(f"{n} benchmark items: search them in parts of at most {most_items}")
-    items, short = [], []
-    for r in benchmark.select("item_id", "text").where("text is not null").collect():
-        raw = np.frombuffer(r.text.encode("utf-8", "surrogatepass"), np.uint8)
-        h, _ = words_of(raw, np.array([len(raw)]))
-        if len(h) >= least_words:
-            items.append((r.item_id, _id(h)))
-        elif len(h):
-            short.append((r.item_id, h))
-    if not items:
-        return sequences(docs, short, schema, id_col, text_col) if short else spark.createDataFrame([], schema)
     tmp = Scratch(spark, "decontaminate")
-    kept = tmp.write(word_ids(docs, id_col, text_col), "words")
-    df, passages = frequencies(kept.select("words"))
-    idf = np.log((passages + 1) / (df + 1)) + 0.1
-    vectors = singular_vectors(sketch(kept.select("words"), idf, rank + oversample), rank)
-    search = Retrieval(items, vectors, idf, cosine, full, part, answer)
-
+    size = benchmark.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(1, -(-size.n // most_items), -(-(size.bytes or 0) // most_bytes))
+    own = benchmark.select("item_id", "text").where("text is not null")
+    if parts > 1:  # numbered once, so that every item is in one part, repeated ones too
+        own = tmp.write(own.withColumn("part", F.monotonically_increasing_id() % parts), "items")
+    model, found = None, []
+    for k in range(parts):
+        items, short = [], []
+        for r in (own.where(F.col("part") == k) if parts > 1 else own).collect():
+            raw = np.frombuffer(r.text.encode("utf-8", "surrogatepass"), np.uint8)
+            h, _ = words_of(raw, np.array([len(raw)]))
+            if len(h) >= least_words:
+                items.append((r.item_id, _id(h)))
+            elif len(h):
+                short.append((r.item_id, h))
+        if items:
+            if model is None:
+                kept = tmp.write(word_ids(docs, id_col, text_col), "words")
+                df, passages = frequencies(kept.select("words"))
+                idf = np.log((passages + 1) / (df + 1)) + 0.1
+                model = singular_vectors(sketch(kept.select("words"), idf, rank + oversample), rank), idf
+            found.append(kept.mapInArrow(_searching(Retrieval(items, *model, cosine, full, part, answer)), schema))
+        if short:
+            found.append(sequences(docs, short, schema, id_col, text_col))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
+def _searching(search: Retrieval):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, out = [], []
@@ -431,8 +441,7 @@ def matches(
                 item, c, share, told = zip(*out)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(item), pa.array(c), pa.array(share), pa.array(told)], ["doc_id", "item_id", "cosine", "lcs_share", "answer_found"])
 
-    out = kept.mapInArrow(run, schema)
-    return out.unionByName(sequences(docs, short, schema, id_col, text_col)) if short else out
+    return run
 
 
 def sequences(docs: DataFrame, items: list[tuple[object, np.ndarray]], schema: str, id_col: str, text_col: str) -> DataFrame:

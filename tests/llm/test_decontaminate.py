@@ -129,3 +129,13 @@ def test_paraphrases_that_the_exact_rule_accepts_are_candidates(spark):
     more = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in dc.matches(docs.unionByName(more), benchmark).collect()}
     assert len(want) > 60 and np.mean([w in got for w in want]) > 0.97
+
+
+def test_parts_of_a_large_benchmark(spark):
+    d = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    short = spark.createDataFrame([(-1, docs.where("length(text) > 0").first().text.split()[0])], "item_id long, text string")
+    items = items.select("item_id", "text").unionByName(items.select("item_id", "text").limit(3)).unionByName(short)
+    rows = lambda **k: sorted((r.doc_id, r.item_id, r.lcs_share, r.answer_found) for r in dc.matches(docs, items, **k).collect())
+    whole = rows()
+    assert whole and rows(most_items=20) == whole and rows(most_bytes=2000) == whole
