@@ -105,9 +105,11 @@ _BASE: dict[str, str] = {}
 
 
 def new_warehouse(spark: SparkSession) -> str:
-    """A fresh warehouse in spark.checkpoint.dir, or in a temporary folder where that is unset; goes when the program ends."""
+    """A fresh warehouse in spark.checkpoint.dir, or in a temporary folder where that is unset and one machine does all; goes when the program ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _BASE.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tarnlake-"))
     path = f"{base.rstrip('/')}/warehouse-{uuid.uuid4().hex[:12]}"

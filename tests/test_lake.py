@@ -1,5 +1,6 @@
 import datetime as dt
 import threading
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -369,3 +370,9 @@ def test_stream_batch_is_added_once(spark):
         stream = spark.readStream.schema("a long").parquet(folder)
         append_stream(s, stream, "t", root + progress).trigger(availableNow=True).start().awaitTermination()
     assert s.sql("SELECT count(*) AS n FROM t").first().n == 10
+
+
+def test_no_local_warehouse_on_a_cluster():
+    conf = SimpleNamespace(get=lambda name, default: default)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        new_warehouse(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
