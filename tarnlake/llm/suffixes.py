@@ -11,12 +11,16 @@ are never all in one place; one bounded bucket of suffixes is sorted at a time:
 2. A suffix's bucket is that of the least gram (by hash, grams of 16 bytes) among
    its 200 bytes: equal strings share a bucket, and neighbouring suffixes mostly
    do too, so a run of them travels as one piece of text, about three bytes for
-   each suffix.  Grams that recur very often come last in that order, so suffixes
-   around a frequent line are dealt by what stands beside it.
+   each suffix.  Only one gram in 16 is counted and, unless it recurs very often,
+   comes first in that order.  Around a frequent passage no such gram may be left;
+   there all grams are counted and the frequent ones come last, so suffixes that
+   reach over its edge are dealt by what stands beside it.
 3. A bucket is sorted by its text: sample suffixes of a second cover first get ranks
    by doubling; all suffixes are sorted by their first v bytes, longer ties are
    merged by the ranks of the pair's shared shift, and by the last bytes that ranks
-   do not reach.  Neighbours that compare equal are equal byte by byte.
+   do not reach.  Neighbours that compare equal are equal byte by byte.  A bucket
+   of much text is sorted in parts, each of whole grams, as sorting takes some 100
+   bytes of memory for each byte.
 
 Equal pieces of text go once per chunk to their bucket, with a mark if they recur
 there, so a string with a third of all places is no burden to its bucket.
@@ -154,6 +158,10 @@ class Keys:
         return again[self.place]
 
 
+#: What is sent for each piece of text: its size, and more of its gram's hash than the bucket says.
+PIECE = np.dtype([("size", "<i4"), ("part", "<u2")])
+
+
 class Runs:
     """Candidate suffixes of a chunk as runs of neighbours with one bucket, and the distinct pieces of text they need."""
 
@@ -172,16 +180,18 @@ class Runs:
         first = np.empty(len(known), np.int64)
         first[self.piece[::-1]] = starts[::-1]
         self.pieces, self.bucket = list(known), bucket[first] if len(known) else np.zeros(0, np.int64)
+        self.head = np.empty(len(known), PIECE)
+        self.head["size"], self.head["part"] = [len(x) for x in known], _mixed(least[first]) >> np.uint64(48)
         self.many = np.bincount(self.piece, minlength=len(known)) > 1
         self.order = np.argsort(self.bucket, kind="stable")
         self.length = length
 
     def blobs(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """(bucket, texts, their sizes, their marks)."""
+        """(bucket, texts, their heads, their marks)."""
         b = self.bucket[self.order]
         for own in np.split(self.order, np.flatnonzero(np.diff(b)) + 1) if len(b) else ():
             texts = [self.pieces[k] for k in own.tolist()]
-            yield int(self.bucket[own[0]]), b"".join(texts), np.array([len(x) for x in texts], np.int32).tobytes(), np.packbits(self.many[own]).tobytes()
+            yield int(self.bucket[own[0]]), b"".join(texts), self.head[own].tobytes(), np.packbits(self.many[own]).tobytes()
 
     def answered(self, answers) -> np.ndarray:
         """The candidates that are repeated."""
@@ -207,6 +217,15 @@ def _covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
+def _around(starts: np.ndarray, width: int) -> np.ndarray:
+    """Places in [s, s + width) of any start, for ascending starts."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    size = np.append(np.minimum(np.diff(starts), width), width)
+    stop = np.cumsum(size)
+    return np.arange(stop[-1]) + np.repeat(starts - (stop - size), size)
+
+
 def _least(g: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` neighbours."""
     if len(g) < width:
@@ -219,17 +238,25 @@ def _least(g: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(a[:n], a[width - k : width - k + n])
 
 
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
 class Rounds:
     """What a chunk asks in each round, given the answers of the rounds before."""
 
     #: One gram in so many may be frequent enough to be counted; only those are chosen where there is one.
     ANCHORS = 16
 
-    def __init__(self, length: int, buckets: tuple[int, int], seed: int = 0, hot: np.ndarray | None = None):
+    def __init__(self, length: int, buckets: tuple[int, int], seed: int = 0, hot: np.ndarray | None = None, worn: np.ndarray | None = None):
         self.length, self.buckets = length, buckets
         self.v, self.cover = cover_for(length)
         self.gram = max(1, min(16, length // 3))
         self.hot = np.zeros(0, np.uint64) if hot is None else hot
+        self.worn = np.zeros(0, np.uint64) if worn is None else worn
         self.powers = Powers(seed)
 
     def samples(self, t: Text) -> tuple[np.ndarray, Keys]:
@@ -245,24 +272,42 @@ class Rounds:
         """Suffixes near a recurring sample, with ``length`` bytes in their document."""
         s, keys = self.samples(t)
         s = s[keys.answered(answers)]
-        w = np.flatnonzero(_covered(len(t.data), s - self.v + 1, self.v))
+        w = _around(s - self.v + 1, self.v)
+        w = w[np.searchsorted(w, 0) :]
         return w[w + self.length <= t.end_of(w)] if len(w) else w
 
     def anchors(self, t: Text, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The grams of the candidates that are counted, each with its places."""
-        h = t.grams(self.gram)
-        h = h[_covered(len(h), w, self.length - self.gram + 1)]
-        return np.unique(h[h % np.uint64(self.ANCHORS) == 0], return_counts=True)
-
-    def runs(self, t: Text, w: np.ndarray) -> Runs:
-        h = t.grams(self.gram)
-        anchor = np.flatnonzero(h % np.uint64(self.ANCHORS) == 0)
-        if len(self.hot):
-            k = np.minimum(np.searchsorted(self.hot, h[anchor]), len(self.hot) - 1)
-            anchor = anchor[self.hot[k] != h[anchor]]
+        h = t.key(_around(w, self.length - self.gram + 1), self.gram)
+        return np.unique(h[h & np.uint64(self.ANCHORS - 1) == 0], return_counts=True)
+
+    def _least(self, t: Text, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The grams around candidates, their order, the candidates' least; the first grams of those without an infrequent anchor, and which these are."""
+        width = self.length - self.gram + 1
+        at = _around(w, width)
+        h = t.key(at, self.gram)
+        anchor = np.flatnonzero(h & np.uint64(self.ANCHORS - 1) == 0)
+        anchor = anchor[~_among(h[anchor], self.hot)]
         g = _mixed(h) | np.uint64(1 << 63)
         g[anchor] &= np.uint64((1 << 63) - 1)
-        least = _least(g, self.length - self.gram + 1)[w] if len(w) else g[:0]
+        first = np.searchsorted(at, w)  # a candidate's grams are neighbours here too
+        least = _least(g, width)[first]
+        bare = np.flatnonzero(least >> np.uint64(63))
+        return h, g, least, first[bare], bare
+
+    def bare(self, t: Text, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All grams of the candidates without an infrequent anchor, each with its places."""
+        h, _, _, first, _ = self._least(t, w)
+        return np.unique(h[_around(first, self.length - self.gram + 1)], return_counts=True)
+
+    def runs(self, t: Text, w: np.ndarray) -> Runs:
+        h, g, least, first, bare = self._least(t, w)
+        if len(bare) and len(self.worn):
+            width = self.length - self.gram + 1
+            near = _around(first, width)
+            x = g[near] & ~np.uint64(1 << 62)
+            x[_among(h[near], self.worn)] |= np.uint64(1 << 62)
+            least[bare] = _least(x, width)[np.searchsorted(near, first)]
         return Runs(t, w, (_mixed(least) % np.uint64(self.buckets[1])).astype(np.int64), least, self.length)
 
 
@@ -311,7 +356,7 @@ class Bucket:
 
     def __init__(self, text: np.ndarray, at: np.ndarray, length: int):
         self.at, self.length = at, length
-        fit = [q for q in (5, 3, 2) if 2 * (q * q + q + 1) <= length]
+        fit = [q for q in (3, 2) if 2 * (q * q + q + 1) <= length]
         self.v, self.cover = difference_cover(fit[0]) if fit else (1, [0])
         padded = np.zeros(len(text) + length + 16, np.uint8)
         padded[: len(text)] = text
@@ -442,16 +487,40 @@ def _answer_keys(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+#: Bytes of text that are sorted at once, but for one gram's own.
+SORTED_BYTES = 1 << 18
+
+
+def sort_in_parts(pieces: list[bytes], part: np.ndarray, many: np.ndarray, length: int) -> list[np.ndarray]:
+    """``sort_bucket`` in turn for parts of the bucket, each of at most SORTED_BYTES or of one value of ``part``."""
+    order = np.argsort(part, kind="stable")
+    size = np.array([len(pieces[k]) for k in order.tolist()], np.int64)
+    edge = np.flatnonzero(np.diff(part[order])) + 1
+    cuts, held, lo = [], 0, 0
+    for hi, n in zip([*edge.tolist(), len(order)], np.add.reduceat(size, np.append(0, edge)).tolist()):
+        if held and held + n > SORTED_BYTES:
+            cuts.append(lo)
+            held = 0
+        held, lo = held + n, hi
+    out: list = [None] * len(pieces)
+    for own in np.split(order, cuts):
+        for k, bits in zip(own.tolist(), sort_bucket([pieces[k] for k in own.tolist()], many[own], length)):
+            out[k] = bits
+    return out
+
+
 def _answer_pieces(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces, many, held = [], [], []
-        for blob, sizes, marks in zip(pdf["texts"], pdf["sizes"], pdf["many"]):
-            size = np.frombuffer(sizes, np.int32)
+        pieces, many, part, held = [], [], [], []
+        for blob, heads, marks in zip(pdf["texts"], pdf["sizes"], pdf["many"]):
+            head = np.frombuffer(heads, PIECE)
+            size = head["size"]
             ends = np.cumsum(size).tolist()
             pieces += [blob[z - n : z] for z, n in zip(ends, size.tolist())]
             many.append(np.unpackbits(np.frombuffer(marks, np.uint8))[: len(size)])
+            part.append(head["part"])
             held.append(len(size))
-        bits = sort_bucket(pieces, np.concatenate(many), length)
+        bits = sort_in_parts(pieces, np.concatenate(part), np.concatenate(many), length)
         out, k = pdf[["part", "seq", "bucket"]].copy(), 0
         again = []
         for n in held:
@@ -540,6 +609,18 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
         here = [pa.array(np.full(len(got), b.column(c)[k].as_py(), np.int32)) for c in (0, 1)]
         return pa.RecordBatch.from_arrays(here + [pa.array(c, t) for c, t in zip(zip(*got), kinds)], ["part", "seq", *names])
 
+    def grams(counted: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counted[0].view(np.int64)), pa.array(counted[1], pa.int64())], ["gram", "n"])
+
+    def frequent(count, least: int, name: str) -> np.ndarray:
+        """The grams with more than ``least`` places; at most 2^21, 16 MB, for which ``least`` may have to grow."""
+        counted = joined().mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        found = tmp.write(counted.where(F.col("n") > least), name)
+        while found.where(F.col("n") > least).count() > 1 << 21:
+            least *= 2
+        got = found.where(F.col("n") > least).select("gram").toPandas()["gram"].to_numpy(np.int64)
+        return np.sort(got.view(np.uint64))
+
     def ask_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rounds = Rounds(length, buckets, seed)
         for b, k, t, _ in texts(batches, rounds):
@@ -549,17 +630,21 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rounds = Rounds(length, buckets, seed)
         for _, _, t, told in texts(batches, rounds):
-            gram, n = rounds.anchors(t, rounds.candidates(t, told[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
+            yield grams(rounds.anchors(t, rounds.candidates(t, told[0])))
 
-    def ask_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rounds = Rounds(length, buckets, seed, hot)
+        for _, _, t, told in texts(batches, rounds):
+            yield grams(rounds.bare(t, rounds.candidates(t, told[0])))
+
+    def ask_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rounds = Rounds(length, buckets, seed, hot, worn)
         for b, k, t, told in texts(batches, rounds):
             if got := list(rounds.runs(t, rounds.candidates(t, told[0])).blobs()):
                 yield rows(b, k, got, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "texts", "sizes", "many"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rounds = Rounds(length, buckets, seed, hot)
+        rounds = Rounds(length, buckets, seed, hot, worn)
         for b, k, t, told in texts(batches, rounds):
             places = rounds.runs(t, rounds.candidates(t, told[0])).answered(told[1])
             gone = _covered(len(t.data), places, length)
@@ -586,15 +671,14 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
     try:
         asked = joined().mapInArrow(ask_keys, "part int, seq int, bucket int, keys binary, many binary")
         known.append(answers(asked.groupBy("bucket").applyInPandas(_answer_keys, "part int, seq int, bucket int, again binary"), "answers-0"))
-        # at most 2^21 grams, 16 MB, can be that frequent
-        often = max(bucket_bytes // (2 * length), total // Rounds.ANCHORS >> 21)
-        counted = joined().mapInArrow(count_anchors, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        hot = np.sort(counted.where(F.col("n") > often).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
+        often = max(1, bucket_bytes // (8 * length))
+        hot = frequent(count_anchors, often, "anchors")
+        worn = frequent(count_bare, often, "bare")
         asked = joined().mapInArrow(ask_pieces, "part int, seq int, bucket int, texts binary, sizes binary, many binary")
         known.append(answers(asked.groupBy("bucket").applyInPandas(_answer_pieces(length), "part int, seq int, bucket int, again binary"), "answers-1"))
         out = tmp.write(joined().mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>"), "spans")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        tmp.drop("chunks", "answers-0", "answers-1")
+        tmp.drop("chunks", "answers-0", "answers-1", "anchors", "bare")
     return out

@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tarnlake.llm import queries, suffixes
@@ -83,6 +86,66 @@ def test_frequent_lines_in_many_contexts(spark):
     assert most[1] < most[0] / 2
 
 
+def test_edges_of_frequent_passages(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    texts = ["".join(rng.choice("stuvwxyz ") for _ in range(rng.randint(20, 220))) + passage + "".join(rng.choice("stuvwxyz ") for _ in range(rng.randint(20, 220))) for _ in range(300)]
+    texts += [texts[7][5:], texts[8][:-3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated(df, chunk_bytes=9000, bucket_bytes=8000).collect()}
+    assert [got[i] for i in range(len(texts))] == plain(texts)
+    # suffixes that reach over an edge by less than the way to the next anchor do not all meet at a gram of the passage
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts[:300]]
+    counts = Counter()
+    for t in texts[:300]:
+        x = suffixes.Text(np.frombuffer(t.encode(), np.uint8), np.array([len(t)]), suffixes.Powers(0))
+        counts.update(x.grams(16).tolist())
+    often = np.sort(np.array([g for g, n in counts.items() if n > 40], np.uint64))
+    r, load = suffixes.Rounds(200, (8, 1 << 20), hot=often, worn=often), Counter()
+    for d in data:
+        t = suffixes.Text(d, np.array([len(d)]), r.powers)
+        for bucket, blob, heads, _ in r.runs(t, np.arange(max(0, len(d) - 199))).blobs():
+            stop = np.cumsum(np.frombuffer(heads, suffixes.PIECE)["size"])
+            for z, n in zip(stop.tolist(), np.diff(stop, prepend=0).tolist()):
+                load[bucket, blob[z - n : z]] = n
+    by_bucket = Counter()
+    for (bucket, _), n in load.items():
+        by_bucket[bucket] += n
+    assert max(by_bucket.values()) < 40 * 400
+
+
+def test_a_bucket_of_much_text_is_sorted_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 101, 1 << 19, dtype=np.uint8).tobytes()
+    rows = []
+    for seq in range(500):
+        own = [base[a : a + 299] for a in rng.integers(0, len(base) - 300, 30).tolist()]
+        part = [x[100] << 8 | x[101] for x in own]  # texts of one part or another
+        heads = np.array([(len(x), p) for x, p in zip(own, part)], [("size", "<i4"), ("part", "<u2")])
+        rows.append((0, seq, 1, b"".join(own), heads.tobytes(), np.packbits(np.zeros(30, bool)).tobytes()))
+    pdf = pd.DataFrame(rows, columns=["part", "seq", "bucket", "texts", "sizes", "many"])
+    tracemalloc.start()
+    out = suffixes._answer_pieces(200)(pdf)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(out["seq"]) == list(range(500)) and most < 40 * 500 * 30 * 299
+
+
+@pytest.mark.parametrize("most", [1, 3000, 1 << 20])
+def test_parts_equal_the_whole(monkeypatch, most):
+    rng = random.Random(most)
+    pieces, part = [], []
+    for _ in range(200):
+        p = rng.randrange(9)  # equal suffixes are of one part, as a letter of their own shows
+        pieces.append(("".join(rng.choice("xy") for _ in range(4)) * 20)[: rng.randint(40, 70)].replace("x", "abcdefghi"[p]).replace("y", "ABCDEFGHI"[p]).encode())
+        part.append(p)
+    many = np.array([rng.random() < 0.1 for _ in pieces])
+    want = suffixes.sort_bucket(pieces, many, 40)
+    monkeypatch.setattr(suffixes, "SORTED_BYTES", most)
+    got = suffixes.sort_in_parts(pieces, np.array(part, np.uint16), many, 40)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
 def test_random_texts_equal_brute_force(spark):
     rng = random.Random(9)
     base = "".join(rng.choice("abé ") for _ in range(6000))
