@@ -25,9 +25,10 @@ are never all in one place; one bounded bucket of suffixes is sorted at a time:
 Equal pieces of text go once per chunk to their bucket, with a mark if they recur
 there, so a string with a third of all places is no burden to its bucket.
 
-Texts are cut into chunks of whole documents in a table that is bucketed by the
-writing task; answers come back to their chunk by a join that moves answers
-only.
+Texts are cut into chunks of whole documents in a table that is bucketed by part,
+a few chunks of one writing task; answers come back to their chunk by a join
+that moves answers only.  Chunks are rows of megabytes, so their files have row
+groups of few: readers hold a row group at once, however much a task was given.
 
 Edge cases: null and empty texts have no bytes; equal texts of at least 200 bytes
 vanish whole; strings never cross documents; repeated rows are documents of
@@ -532,19 +533,24 @@ def _answer_pieces(length: int):
     return run
 
 
+#: Chunks of one part, whose answers are gathered in one row, and of one row group, which is read at once.
+PART_CHUNKS, GROUP_CHUNKS = 8, 4
+
+
 def chunked(docs: DataFrame, tmp: Scratch, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, str]:
-    """The texts as a table of chunks (part, seq, ids, sizes, data), bucketed by part, the writing task."""
+    """The texts as a table of chunks (part, seq, ids, sizes, data), bucketed by part, up to PART_CHUNKS of a writing task."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        task, made = TaskContext.get().partitionId(), 0
         ids, sizes, parts, held = [], [], [], 0
 
         def chunk():
+            part, seq = divmod(made, PART_CHUNKS)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())],
+                [pa.array([task << 32 | part], pa.int64()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())],
                 ["part", "seq", "ids", "sizes", "data"],
             )
 
@@ -554,7 +560,7 @@ def chunked(docs: DataFrame, tmp: Scratch, id_col: str, text_col: str, chunk_byt
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 if held and held + len(raw) > chunk_bytes:
                     yield chunk()
-                    seq += 1
+                    made += 1
                     ids, sizes, parts, held = [], [], [], 0
                 ids.append(i)
                 sizes.append(len(raw))
@@ -564,10 +570,11 @@ def chunked(docs: DataFrame, tmp: Scratch, id_col: str, text_col: str, chunk_byt
             yield chunk()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = rows.mapInArrow(run, f"part int, seq int, ids array<{kind}>, sizes array<long>, data binary")
+    chunks = rows.mapInArrow(run, f"part long, seq int, ids array<{kind}>, sizes array<long>, data binary")
     name = f"tarnlake_chunks_{uuid.uuid4().hex[:12]}"
     n = min(50_000, 3 * max(4, rows.rdd.getNumPartitions()))
-    made.write.bucketBy(n, "part").format("parquet").options(path=f"{tmp.root}/chunks", compression="zstd").saveAsTable(name)
+    groups = {"parquet.block.row.count.limit": GROUP_CHUNKS}
+    chunks.write.bucketBy(n, "part").format("parquet").options(path=f"{tmp.root}/chunks", compression="zstd", **groups).saveAsTable(name)
     return spark.table(name), name
 
 
@@ -606,7 +613,7 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
                 yield b, k, t, [c[k].as_py() or [] for c in b.columns[5:]]
 
     def rows(b, k: int, got: list, kinds: list, names: list) -> pa.RecordBatch:
-        here = [pa.array(np.full(len(got), b.column(c)[k].as_py(), np.int32)) for c in (0, 1)]
+        here = [pa.array(np.full(len(got), b.column(c)[k].as_py(), kind)) for c, kind in enumerate((np.int64, np.int32))]
         return pa.RecordBatch.from_arrays(here + [pa.array(c, t) for c, t in zip(zip(*got), kinds)], ["part", "seq", *names])
 
     def grams(counted: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -669,13 +676,13 @@ def repeated(docs: DataFrame, length: int = 200, chunk_bytes: int = 2 << 20, buc
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # chunks, not documents
     try:
-        asked = joined().mapInArrow(ask_keys, "part int, seq int, bucket int, keys binary, many binary")
-        known.append(answers(asked.groupBy("bucket").applyInPandas(_answer_keys, "part int, seq int, bucket int, again binary"), "answers-0"))
+        asked = joined().mapInArrow(ask_keys, "part long, seq int, bucket int, keys binary, many binary")
+        known.append(answers(asked.groupBy("bucket").applyInPandas(_answer_keys, "part long, seq int, bucket int, again binary"), "answers-0"))
         often = max(1, bucket_bytes // (8 * length))
         hot = frequent(count_anchors, often, "anchors")
         worn = frequent(count_bare, often, "bare")
-        asked = joined().mapInArrow(ask_pieces, "part int, seq int, bucket int, texts binary, sizes binary, many binary")
-        known.append(answers(asked.groupBy("bucket").applyInPandas(_answer_pieces(length), "part int, seq int, bucket int, again binary"), "answers-1"))
+        asked = joined().mapInArrow(ask_pieces, "part long, seq int, bucket int, texts binary, sizes binary, many binary")
+        known.append(answers(asked.groupBy("bucket").applyInPandas(_answer_pieces(length), "part long, seq int, bucket int, again binary"), "answers-1"))
         out = tmp.write(joined().mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>"), "spans")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

@@ -5,9 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
 from tarnlake.llm import queries, suffixes
+from tarnlake.llm.common import Scratch, remove
 
 
 def plain(texts, length=200):
@@ -146,6 +148,23 @@ def test_parts_equal_the_whole(monkeypatch, most):
     assert [x.tolist() for x in got] == [x.tolist() for x in want]
 
 
+def test_a_large_split_is_read_a_few_chunks_at_a_time(spark):
+    """However much one task is given, a row group holds few chunks and a part's answers are of few."""
+    texts = [chr(97 + k % 26) * 1000 for k in range(100)]
+    tmp = Scratch(spark, "suffixes-test")
+    chunks, name = suffixes.chunked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), tmp, "doc_id", "text", 1000)
+    try:
+        rows = chunks.select("part", "seq", "ids", "data").collect()
+        assert len({(r.part, r.seq) for r in rows}) == len(rows) == 100
+        assert {i: bytes(r.data).decode() for r in rows for i in r.ids} == dict(enumerate(texts))
+        assert max(Counter(r.part for r in rows).values()) <= 8
+        held = [pq.read_metadata(f.removeprefix("file://")) for f in chunks.inputFiles()]
+        assert max(m.row_group(g).num_rows for m in held for g in range(m.num_row_groups)) <= 4
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        remove(spark, tmp.root)
+
+
 def test_random_texts_equal_brute_force(spark):
     rng = random.Random(9)
     base = "".join(rng.choice("abé ") for _ in range(6000))
