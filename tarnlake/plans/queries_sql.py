@@ -225,7 +225,7 @@ def partition_names(spark, d):
 def write_rollover(spark, d):
     """Files end at a target size; row groups and compression level are the table's."""
     s = session(spark)
-    df = source(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").coalesce(1)
+    df = source(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     props = {"write.target-file-size-bytes": "40000", "write.parquet.row-group-size-bytes": "1048576", "write.parquet.compression-level": "5"}
     t = s.create_table("lineitem", df.schema, properties=props)
     t.append(df)

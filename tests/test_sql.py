@@ -179,6 +179,18 @@ def test_files_roll_over_at_a_size(s):
     assert all(len(p) == 2 for p in prefixes)
 
 
+def test_rollover_is_written_by_all_tasks(spark, tmp_path):
+    """Every task writes what it read; no one task gets the whole table."""
+    from tarnlake.plans.queries_sql import write_rollover
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    rows.repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = write_rollover(spark, str(tmp_path))
+    tasks = {f.rsplit("/", 1)[1].split("-")[1] for f in got.inputFiles()}
+    assert len(tasks) == 4 and got.count() == rows.count()
+    assert got.exceptAll(rows.select(*got.columns)).count() == 0
+
+
 def test_moments_have_bounds(s):
     t = s.create_table("t", s.spark.sql("SELECT TIMESTAMP'2020-01-01 00:00:00' AS at, 1 AS k").schema)
     for d in (1, 2, 3):
